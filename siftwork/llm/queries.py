@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import mixing, token_files
+from siftwork.llm import audio, mixing, pii, token_files
 from siftwork.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digest(audio.features(audio.write_media(table(spark, sf_dir, "documents"))))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,6 +28,8 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op5_audio_features": op5_audio_features,
     "op3_token_files": op3_token_files,
     "op9_source_mix": op9_source_mix,
 }
