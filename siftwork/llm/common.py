@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +39,19 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """make() once in the life of a Python worker, which serves many tasks: models and their word dictionaries."""
+    store = sys.modules.setdefault("_siftwork_kept", types.ModuleType("_siftwork_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of long texts by fewer rows than Spark's default, for Python workers of a few hundred MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in order, in batches whose column holds about `most` bytes (one row may hold more)."""
     for batch in batches:

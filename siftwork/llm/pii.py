@@ -14,6 +14,7 @@ replaced; a text without white space is one word of any length; rows that repeat
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import WORD, slices
+from siftwork.llm.common import WORD, kept, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -390,10 +391,11 @@ def _scan(batch: pa.RecordBatch, decoder: Decoder) -> tuple[list[str], list, lis
 def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), field: Field | None = None) -> DataFrame:
     """The columns `keep` of docs, base_spans and spans (arrays of kind, start, end in code points, end exclusive)."""
     field = field or train()
+    token = ("pii", hashlib.sha256(field.unary.tobytes() + field.move.tobytes()).hexdigest())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, name = Decoder(field), ("kind", "start", "end")
+        decoder, name = kept(token, lambda: Decoder(field)), ("kind", "start", "end")
         for batch in slices(batches, "text", 8 << 20):
             _, base, spans = _scan(batch, decoder)
             cols = [pa.array([[dict(zip(name, s, strict=True)) for s in row] for row in x], kind) for x in (base, spans)]
@@ -407,9 +409,10 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), field: Fiel
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with every span replaced by <KIND>, overlapping spans by the first; n_chars, if there, counts anew."""
     field = field or train()
+    token = ("pii", hashlib.sha256(field.unary.tobytes() + field.move.tobytes()).hexdigest())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(field)
+        decoder = kept(token, lambda: Decoder(field))
         for batch in slices(batches, "text", 8 << 20):
             texts, _, spans = _scan(batch, decoder)
             out = []

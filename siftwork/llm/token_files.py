@@ -20,10 +20,11 @@ ordered by text; an empty table writes nothing and reads as no rows; extra colum
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,37 +34,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwork.llm.common import materialize, shared_dir, slices
+from siftwork.llm.common import kept, materialize, shared_dir, slices
 
 #: Chunks that a worker keeps; beyond it the dictionary starts anew, which costs time and nothing else.
-CACHE = 1 << 18
+CACHE = 1 << 19
 NO_DOC = np.iinfo(np.int64).min
 
 
-def chunk_encoder(tokenizer_path: str, dtype: str) -> Callable[[str], bytes]:
-    """text -> ids as bytes of `dtype`."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer_path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    spaced: dict[str, bytes] = {}
-    double, split = re.compile(r" \s").search, re.compile(r" (?=\S)").split
-
-    def ids(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def encode(text: str) -> bytes:
-        parts = (split if double(text) else str.split)(text, *(() if double(text) else (" ",)))
-        first, rest = parts[0], parts[1:]
-        if new := [x for x in {*rest} if x not in spaced]:
-            if len(spaced) > CACHE:
-                spaced.clear()
-                new = [*{*rest}]
-            spaced.update(zip(new, ids([f" {x}" for x in new]), strict=True))
-        return (ids([first])[0] if first else b"") + b"".join(map(spaced.__getitem__, rest))
-
-    # a text that ends in a single space has an empty last part: the chunk " ", as the library has it
-    return encode
+class ChunkEncoder:
+    """texts -> ids as bytes of `dtype`, by the library, each chunk once.
+
+    A chunk is what stands between spaces, with the space before it; a space before white space or at the end of a text
+    stays inside its chunk. New chunks without a line feed go through the library as one text, a line each: the
+    pre-tokenizer gives each line feed a token of its own there.
+    """
+
+    def __init__(self, path: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.dtype, self.feed = dtype, self.ids("a\nb")[1]
+        self.one_feed = len(self.ids("a\n b")) == 3
+        self.spaced: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, chunks: set[str]) -> None:
+        lines = [x for x in chunks if "\n" not in x and x] if self.one_feed else []
+        for a in range(0, len(lines), 4096):
+            part = lines[a : a + 4096]
+            ids = np.array(self.ids("\n".join([f" {x}" for x in part])), self.dtype)
+            cuts = np.flatnonzero(ids == self.feed)
+            if len(cuts) != len(part) - 1:  # not the pre-tokenizer that this relies on
+                break
+            data, width = ids.tobytes(), ids.itemsize
+            begins, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
+            self.spaced.update((x, data[b:e]) for x, b, e in zip(part, begins, ends, strict=True))
+        for x in chunks:
+            if x not in self.spaced:
+                self.spaced[x] = np.array(self.ids(f" {x}"), self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        double, split = re.compile(r" \s").search, re.compile(r" (?=\S)").split
+        parts = [split(x) if double(x) or x.endswith(" ") else x.split(" ") for x in texts]
+        new = set().union(*(p[1:] for p in parts)).difference(self.spaced)
+        if new and len(self.spaced) + len(new) > CACHE:
+            self.spaced.clear()
+            new = set().union(*(p[1:] for p in parts))
+        self.learn(new)
+        get = self.spaced.__getitem__
+        return [(np.array(self.ids(p[0]), self.dtype).tobytes() if p[0] else b"") + b"".join(map(get, p[1:])) for p in parts]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out: str | None = None) -> DataFrame:
@@ -79,13 +102,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out
         fs.create_dir(root, recursive=True)
         part = pyspark.TaskContext.get().partitionId()
         stem = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
-        encode, end = chunk_encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
+        encoder, end = kept(("chunks", tokenizer_path, dtype), lambda: ChunkEncoder(tokenizer_path, dtype)), np.array([end_id], dtype).tobytes()
         width, ids, offsets, names = len(end), None, [0], []
         for batch in slices(batches, "text"):
             if ids is None:
                 ids = fs.open_output_stream(f"{stem}.ids.open")
-            for text, doc in zip(batch.column("text"), batch.column("doc_id").to_pylist(), strict=True):
-                data = encode(text.as_py() or "") + end
+            for data, doc in zip(encoder.encode([x or "" for x in batch.column("text").to_pylist()]), batch.column("doc_id").to_pylist(), strict=True):
+                data += end
                 ids.write(data)
                 offsets.append(offsets[-1] + len(data) // width)
                 names.append(NO_DOC if doc is None else doc)
