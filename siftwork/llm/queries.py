@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import audio, mixing, pieces, pii, token_files
+from siftwork.llm import audio, mixing, pieces, pii, token_files, toxicity
 from siftwork.llm.common import table
 
 
@@ -31,12 +31,18 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op5_audio_features": op5_audio_features,
     "op3_token_files": op3_token_files,
     "op6_pieces": op6_pieces,
     "op9_source_mix": op9_source_mix,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
