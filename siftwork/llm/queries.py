@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import audio, mixing, pieces, pii, token_files, toxicity
+from siftwork.llm import audio, mixing, pages, pieces, pii, token_files, toxicity
 from siftwork.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.digest(table(spark, sf_dir, "pages"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_audio_features": op5_audio_features,
     "op3_token_files": op3_token_files,
     "op6_pieces": op6_pieces,
+    "op7_main_text": op7_main_text,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
 }
