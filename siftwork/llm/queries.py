@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import audio, mixing, pages, pieces, pii, token_files, toxicity, warc
+from siftwork.llm import audio, embeddings, mixing, pages, pieces, pii, token_files, toxicity, warc
 from siftwork.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.digest(table(spark, sf_dir, "pages"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op6_pieces": op6_pieces,
     "op7_main_text": op7_main_text,
+    "op8_embeddings": op8_embeddings,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
 }
