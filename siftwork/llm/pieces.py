@@ -20,6 +20,7 @@ a row number; characters without a piece become their UTF-8 byte pieces; other c
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -41,8 +42,8 @@ _HEAD = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 class Pieces:
     """The lattice of one model: which substrings are arcs, and how two of them join."""
 
-    #: Words and joins that a worker keeps.
-    CACHE = 1 << 19
+    #: Words of each of two generations, and joins, that a worker keeps.
+    CACHE, PAIRS = 1 << 17, 1 << 19
 
     def __init__(self, path: str):
         import sentencepiece
@@ -64,13 +65,14 @@ class Pieces:
         self.text = [p.piece for p in model.pieces]
         self.longest = max(map(len, self.arcs))
         self.trie = {x[:n]: -1 for x in self.arcs for n in range(1, len(x))} | self.arcs  # -1: only the head of a piece
-        self.after: dict[str, dict[str, bool]] = {}
+        self.after: dict[str, dict[int, bool]] = {}  # by piece, the pieces that may follow it or not
         self.missing = min((self.score[i] for i in self.arcs.values()), default=0.0) - 10
         spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.joins: dict[tuple[str, str], float] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pairs = 0
 
     def arc(self, s: str) -> bool:
         return len(s) == 1 or s in self.arcs
@@ -79,16 +81,28 @@ class Pieces:
         """Weight of arc s after the arc `before` ('' at the start of a word)."""
         if not self.bpe:
             return self.score[self.arcs[s]] if s in self.arcs else self.missing
-        if before and (before not in self.arcs or s not in self.arcs):
-            self.joins[before, s] = 0.0
+        if (i := self.arcs.get(s)) is None or (before and before not in self.arcs):
             return 0.0
-        got = self.joins.get((before, s))
+        got = self.known(before).get(i)
+        return 0.0 if (self.settle(before, s, i) if got is None else got) else MINUS
+
+    def known(self, before: str) -> dict[int, bool]:
+        got = self.after.get(before)
         if got is None:
-            if len(self.joins) > self.CACHE:
-                self.joins.clear()
-            got = self.joins[before, s] = 0.0 if (self.beside(before, s) if before else self.halves(s) is not None) else MINUS
+            if self.pairs > self.PAIRS:
+                self.after.clear()
+                self.parts.clear()
+                self.pairs = 0
+            got = self.after[before] = {}
         return got
 
+    def settle(self, before: str, s: str, i: int) -> bool:
+        """Finds out whether piece s, number i, may follow a piece."""
+        ok = (before not in self.arcs or self.beside(before, s)) if before else self.halves(s) is not None
+        self.known(before)[i] = ok
+        self.pairs += 1
+        return ok
+
     def halves(self, s: str) -> tuple[str, str] | None:
         """The two arcs that the last merge of a piece joins ('' for both if it has one character); None if merges of its
         characters don't end in it: the best-ranked neighbours first, the leftmost of equals."""
@@ -167,9 +181,10 @@ class Pieces:
         """ids of a run of spaces with what follows it, or of what no space precedes."""
         got = self.words.get(w)
         if got is None:
+            got = self.old.get(w)
             if len(self.words) > self.CACHE:
-                self.words.clear()
-            got = self.words[w] = self.fresh(w)
+                self.words, self.old = {}, self.words
+            got = self.words[w] = self.fresh(w) if got is None else got
         return got
 
     def fresh(self, w: str) -> bytes:
@@ -178,29 +193,26 @@ class Pieces:
             return self.ids(self.trace(w, 0, start, len(w)))
         if w.startswith(SPACE + SPACE):  # pieces of spaces tie in score, so joins of two don't settle a run
             return np.array(self.plain.encode(w.replace(SPACE, " "), num_threads=1), "<u4").tobytes()
-        n, trie, longest, beside = len(w), self.trie, self.longest, self.after
+        n, trie, longest = len(w), self.trie, self.longest
         last: list[str | None] = [None] * (n + 1)
         start = [0] * (n + 1)
         last[0] = ""
         for b in range(n):
             if (before := last[b]) is None:
                 continue
-            known = beside.get(before)
-            if known is None:
-                if len(beside) > self.CACHE:
-                    beside.clear()
-                known = beside[before] = {}
+            known = self.known(before) if before in trie or not before else None
             for e in range(b + 1, min(n, b + longest) + 1):
                 x = w[b:e]
                 i = trie.get(x)
-                if i is None:
-                    if e == b + 1:  # a character without a piece
+                if i is None or (i < 0 and e == b + 1):
+                    if e == b + 1 and last[e] is None:  # a character without a piece
                         last[e], start[e] = x, b
-                    break
-                if last[e] is None and (i >= 0 or e == b + 1):
-                    ok = known.get(x)
+                    if i is None:
+                        break
+                elif i >= 0 and last[e] is None:
+                    ok = True if known is None else known.get(i)
                     if ok is None:
-                        ok = known[x] = self.join(before, x) == 0.0
+                        ok = self.settle(before, x, i)
                     if ok:
                         last[e], start[e] = x, b
         if last[n] is None:
@@ -351,7 +363,7 @@ def _matrix(data: bytes) -> Matrix:
 
 
 def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text, ids) of every row; ids as binary of little-endian 32-bit ids."""
+    """(doc_id, ids, decoded_sha256) of every row: ids as binary of little-endian 32-bit ids, and the hash of what they decode to."""
     used = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     doc = f"doc_id {used.schema['doc_id'].dataType.simpleString()}"
     long = F.length("text") >= chunk  # the added space may make one character more
@@ -360,9 +372,11 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
         model = kept(("pieces", model_path), lambda: Pieces(model_path))
         for batch in slices(batches, "text"):
             ids = [model.whole(x) if x else b"" for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
+            sha = [hashlib.sha256(model.decode(np.frombuffer(x, "<u4")).encode("utf-8", "surrogatepass")).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sha)], ["doc_id", "ids", "decoded_sha256"])
 
-    done = used.where(F.coalesce(~long, F.lit(True))).mapInArrow(short, f"{doc}, text string, ids binary")
+    out = f"{doc}, ids binary, decoded_sha256 string"
+    done = used.where(F.coalesce(~long, F.lit(True))).mapInArrow(short, out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("pieces", model_path), lambda: Pieces(model_path))
@@ -401,8 +415,9 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     traced = chunks.join(chosen.where("a is not null"), ["row", "k"]).mapInArrow(back, "row long, k long, ids binary")
     joined = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = joined.select("row", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-    whole = giants.join(chosen.where("a is null").select("row"), "row", "left_semi").select("doc_id", "text").mapInArrow(short, f"{doc}, text string, ids binary")
-    return done.unionByName(giants.join(joined, "row").select("doc_id", "text", "ids")).unionByName(whole)
+    whole = giants.join(chosen.where("a is null").select("row"), "row", "left_semi").select("doc_id", "text").mapInArrow(short, out)
+    parts = decode(giants.select("row", "doc_id").join(joined, "row"), model_path).select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return done.unionByName(parts).unionByName(whole)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -419,5 +434,5 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256 (of the decoded text, which is the text)."""
-    found = decode(encode(docs, model_path), model_path)
-    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = encode(docs, model_path)
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "decoded_sha256")

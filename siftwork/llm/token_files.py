@@ -36,8 +36,8 @@ from pyspark.sql.window import Window
 
 from siftwork.llm.common import kept, materialize, shared_dir, slices
 
-#: Chunks that a worker keeps; beyond it the dictionary starts anew, which costs time and nothing else.
-CACHE = 1 << 19
+#: Chunks of each of two generations that a worker keeps.
+CACHE = 1 << 17
 NO_DOC = np.iinfo(np.int64).min
 
 
@@ -58,6 +58,7 @@ class ChunkEncoder:
         self.dtype, self.feed = dtype, self.ids("a\nb")[1]
         self.one_feed = len(self.ids("a\n b")) == 3
         self.spaced: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -81,10 +82,12 @@ class ChunkEncoder:
         double, split = re.compile(r" \s").search, re.compile(r" (?=\S)").split
         parts = [split(x) if double(x) or x.endswith(" ") else x.split(" ") for x in texts]
         new = set().union(*(p[1:] for p in parts)).difference(self.spaced)
-        if new and len(self.spaced) + len(new) > CACHE:
-            self.spaced.clear()
+        if len(self.spaced) > CACHE:
+            self.spaced, self.old = {}, self.spaced
             new = set().union(*(p[1:] for p in parts))
-        self.learn(new)
+        again = new & self.old.keys()
+        self.spaced.update((x, self.old[x]) for x in again)
+        self.learn(new - again)
         get = self.spaced.__getitem__
         return [(np.array(self.ids(p[0]), self.dtype).tobytes() if p[0] else b"") + b"".join(map(get, p[1:])) for p in parts]
 
