@@ -59,7 +59,7 @@ def time_slot(finish: Column) -> Column:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of docs.
+    """(doc_id, t, source, size, source_size, target, copies, taken) for every row of docs; t is a digest of its text.
 
     A source whose target passes its size offers its documents again, in the same order, up to `most` times.
     """
@@ -89,4 +89,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     mixed = offers.crossJoin(F.broadcast(limit))
     within = lambda f: F.coalesce(time_slot(f) < F.col("cut_at"), F.lit(True)) | F.coalesce(f <= F.col("last"), F.lit(False))
     n = F.when((F.col("size") > 0) & (F.col("target") > 0), F.size(F.filter("finish", within))).otherwise(0)
-    return mixed.select("doc_id", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
+    return mixed.select("doc_id", "t", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of the mix, each as often as it is taken. Rows that repeat id and text are taken equally often."""
+    plan = mix(docs, share, most).where("copies > 0").groupBy("doc_id", "t").agg(F.max("copies").alias("copies"))
+    plan = plan.select(F.col("doc_id").alias("mix_id"), F.col("t").alias("mix_text"), F.sequence(F.lit(1), F.col("copies")).alias("mix_copies"))
+    on = F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("mix_text"))
+    return docs.join(plan, on).withColumn("mix_copy", F.explode("mix_copies")).select(*docs.columns)

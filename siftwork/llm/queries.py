@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import audio, embeddings, mixing, pages, pieces, pii, token_files, toxicity, warc
+from siftwork.llm import audio, embeddings, mixing, ngram_join, pages, pieces, pii, token_files, toxicity, warc
 from siftwork.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.features(audio.write_media(table(spark, sf_dir, "documents"))))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_ngram_join": op2_ngram_join,
     "op4_warc": op4_warc,
     "op5_audio_features": op5_audio_features,
     "op3_token_files": op3_token_files,
