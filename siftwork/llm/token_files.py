@@ -37,7 +37,12 @@ from pyspark.sql.window import Window
 from siftwork.llm.common import kept, materialize, shared_dir, slices
 
 #: Chunks of each of two generations that a worker keeps.
-CACHE = 1 << 17
+CACHE = 3 << 17
+#: Signs that end chunks of letters: none of them begins a token that letters end.
+ENDS = ".,;:!?%&$#*|"
+#: The characters that byte-level models use for bytes: printable Latin-1 for itself, the others from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b if b in _PLAIN else 256 + [x for x in range(256) if x not in _PLAIN].index(b) for b in range(256)}
 NO_DOC = np.iinfo(np.int64).min
 
 
@@ -57,14 +62,42 @@ class ChunkEncoder:
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype, self.feed = dtype, self.ids("a\nb")[1]
         self.one_feed = len(self.ids("a\n b")) == 3
+        probe = "Gr\u00fc\u00df\u00e9\u0436\u65e5ing"
+        self.letters = False
+        try:  # a byte-level model, and a pre-tokenizer that parts letters from signs
+            self.letters = self.stem(probe) == np.array(self.ids(f" {probe}"), dtype).tobytes() and self.ids(f" {probe}.,") == self.ids(f" {probe}") + self.ids(".,")
+        except Exception:  # noqa: BLE001  the model has no tokens for single bytes
+            self.letters = False
+        self.ends: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def stem(self, x: str) -> bytes:
+        """ids of a space and a word of letters, which the pre-tokenizer keeps whole: straight from the model."""
+        return np.array([t.id for t in self.tok.model.tokenize(f" {x}".encode().decode("latin-1").translate(BYTE_SIGNS))], self.dtype).tobytes()
+
     def learn(self, chunks: set[str]) -> None:
-        lines = [x for x in chunks if "\n" not in x and x] if self.one_feed else []
+        spaced, rest = self.spaced, []
+        for x in chunks:
+            if self.letters:
+                if x.isalpha():
+                    spaced[x] = self.stem(x)
+                    continue
+                y = x.rstrip(ENDS)  # signs after letters are a token run of their own, found again with other words
+                if y.isalpha() and (end := self.ends.get(x[len(y) :])) is None and len(self.ends) < CACHE:
+                    end = self.ends[x[len(y) :]] = np.array(self.ids(x[len(y) :]), self.dtype).tobytes()
+                if y.isalpha() and end is not None:
+                    got = spaced.get(y) or self.old.get(y)
+                    if got is None:
+                        got = self.stem(y)
+                    spaced[y] = got
+                    spaced[x] = got + end
+                    continue
+            rest.append(x)
+        lines = [x for x in rest if "\n" not in x and x] if self.one_feed else []
         for a in range(0, len(lines), 4096):
             part = lines[a : a + 4096]
             ids = np.array(self.ids("\n".join([f" {x}" for x in part])), self.dtype)
@@ -73,10 +106,10 @@ class ChunkEncoder:
                 break
             data, width = ids.tobytes(), ids.itemsize
             begins, ends = [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)]
-            self.spaced.update((x, data[b:e]) for x, b, e in zip(part, begins, ends, strict=True))
-        for x in chunks:
-            if x not in self.spaced:
-                self.spaced[x] = np.array(self.ids(f" {x}"), self.dtype).tobytes()
+            spaced.update((x, data[b:e]) for x, b, e in zip(part, begins, ends, strict=True))
+        for x in rest:
+            if x not in spaced:
+                spaced[x] = np.array(self.ids(f" {x}"), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         double, split = re.compile(r" \s").search, re.compile(r" (?=\S)").split
