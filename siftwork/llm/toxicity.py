@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import WORD, slices
+from siftwork.llm.common import WORD, materialize, slices
 
 WINDOW, STEP = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 13, 1 << 15
@@ -257,9 +257,19 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """At most `sample` texts of each class, none of them held out, in the order of md5(doc_id)."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = materialize(known.withColumn("h", F.md5(F.col("doc_id").cast("string"))))
     short = docs.where(F.length("text") <= chars).select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = known.join(short, "doc_id").withColumn("h", F.md5(F.col("doc_id").cast("string")))
-    got = [r for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy("h", "text").select("h", "text", "toxic").limit(sample).collect()]
+    got = []
+    for c in (0, 1):
+        mine = known.where(F.col("toxic") == c)
+        n = mine.count()
+        # the first of the order lie below a digest that some times the sample lies below, so tasks send few rows
+        for part in (8 * sample / n if n > 8 * sample else 1.0, 1.0):
+            rows = mine if part >= 1 else mine.where(F.col("h") < f"{int(part * 16**8):08x}")
+            first = rows.join(short, "doc_id").orderBy("h", "text").select("h", "text", "toxic").limit(sample).collect()
+            if len(first) == sample or part >= 1:
+                got += first
+                break
     got.sort(key=lambda r: (r["h"], r["text"]))
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
