@@ -430,7 +430,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     done = docs.mapInArrow(scan, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done
 
 
