@@ -6,18 +6,20 @@ Two sets of sizes a and b link when 7 * overlap >= 3 * (a + b), which is a Jacca
 1. Order. All shingles are counted in a sketch of BUCKETS counters; each set is sorted by (counter, hash), rare first. Any
    fixed order is right; this one keeps common passages out of the prefixes.
 2. Index. The first n - ceil(3 n / 4) + 1 shingles of a set go to the lists of the index with set size and position; two
-   sets that link share a list. Lists of one node are dropped.
+   sets that link share a list. Entries without another of a size that can link in their list are dropped.
 3. Answers by relation. In long lists a leader is compared with all; what links with it becomes one component, and a
    pair inside a component needs no comparison, as its answer follows from that of the leader. Lists of one
-   component are done; leaders leave their lists.
-4. Block skipping. What is left of each list is cut into blocks by size; a pair of blocks is skipped if sizes, or the
-   positions of its entries (nothing before a shared shingle's first position can be shared), rule out enough overlap;
-   entries of the others are tested alike, and by component.
-5. Pairs left are compared on their whole sets, links make components.
-
-Scale: three passes over the texts (sizes and names, lists, sets of nodes in lists) without moving texts; the shuffles
-are the prefixes, a quarter of the shingles, once, and the sets of nodes in lists. Copies of a text cost one node in each task.
-Long lists are never gathered: their counts and leaders are grouped aggregates, blocks hold about BLOCK entries.
+   component are done.
+4. Block skipping. What is left of long lists is cut into blocks by size; a pair of blocks is skipped if sizes or the
+   positions of its entries (of a shared shingle at positions i and j, no more than the lesser can be shared before it, nor
+   than the shorter rest from it) rule out enough overlap; entries of the others are tested alike, and by component.
+5. Pairs are counted over their lists. All that two sets share up to where the first of their prefixes ends is in that
+   count, so it bounds the overlap; pairs left are compared on their whole sets, links make components.
+
+Scale: two passes over the texts (sizes and names, lists) without moving texts, and for each round of comparisons one that
+reads the sets of the nodes in its pairs; the shuffles are the prefixes, a quarter of the shingles, once, and those sets.
+Copies of a text cost one node in each task. Long lists are never gathered: their counts and leaders are grouped aggregates,
+blocks hold about BLOCK entries.
 
 Cases: null and empty texts, or white space alone: no set, no link, own component; fewer than five words: the sequence
 is the one shingle; rows that repeat a doc_id count as one document; a null doc_id takes the component of an equal or
@@ -31,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwork.llm.common import components, kept, materialize, slices
 
@@ -43,7 +46,7 @@ BLOCK = 128
 ROUNDS = 2
 #: Lists with more entries than this get leaders.
 LONG = 12
-#: Most bits of the filter for nodes in lists.
+#: Most bits of a filter of document ids.
 FILTER_BITS = 1 << 27
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,42 +166,53 @@ def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "n", "pos"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, node long, n int, pos int")
-    rows.createOrReplaceTempView("siftwork_postings")
-    found = docs.sparkSession.sql("""
-        SELECT token, node, n, pos FROM (
-          SELECT *, min(node) OVER (PARTITION BY token) AS low, max(node) OVER (PARTITION BY token) AS high FROM siftwork_postings)
-        WHERE low < high""")
-    return materialize(found)
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    rows = rows.withColumn("same", F.lag("node").over(by_size)).where("same is null or same <> node")
+    rows = rows.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    return materialize(rows.where("4L * less >= 3L * n or 4L * n >= 3L * more").select("token", "node", "n", "pos"))
 
 
-def wanted_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, s): the sets of nodes, s as bytes of sorted hashes."""
-    n = nodes.count()
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A filter of the ids in a column named id, as bits of pmod(hash, bits); at most FILTER_BITS."""
+    n = ids.count()
     bits = 1 << 15
     while bits < min(16 * n, FILTER_BITS):
         bits *= 2
-    spot = F.pmod("node", F.lit(bits))
-    maps = nodes.select(F.floor(spot / 32768).alias("part"), (spot % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    spot = F.pmod("id", F.lit(bits))
+    maps = ids.select(F.floor(spot / 32768).alias("part"), (spot % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     field = np.zeros(bits // 8, np.uint8)
-    for r in maps.collect():  # FILTER_BITS at most
+    for r in maps.collect():
         got = np.frombuffer(r["bits"], np.uint8)
         field[r["part"] * 4096 : r["part"] * 4096 + len(got)] = got
+    return field
+
+
+def wanted_sets(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, s): the sets of nodes (column node), s as bytes of sorted hashes; read from one document of each node.
+
+    A filter of these documents' ids goes to the tasks, so a task takes apart few other texts.
+    """
+    first = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    first = materialize(first.join(nodes, "node", "left_semi"))
+    field, unnamed = bitmap(first.where("id is not null").select("id")), bool(first.agg(F.max("unnamed")).first()[0])
+    bits = 8 * len(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in slices(batches, "text"):
-            rows = []
-            for s in _sets(batch):
-                if len(s):
-                    node = node_of(s)
-                    spot = node % bits
-                    if field[spot >> 3] >> (spot & 7) & 1 and node not in seen:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            spot = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+            hit = np.where(ids.is_null().to_numpy(zero_copy_only=False), unnamed, field[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 > 0)
+            for part in slices(iter([batch.filter(pa.array(hit))]), "text"):
+                rows = []
+                for s in _sets(part):
+                    if len(s) and (node := node_of(s)) not in seen:
                         seen.add(node)
                         rows.append((node, s.tobytes()))
-            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "s"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, s binary")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, s binary")
+    found = found.join(first.select("node"), "node", "left_semi")
     return materialize(found.groupBy("node").agg(F.any_value("s").alias("s")), "lz4")
 
 
@@ -220,61 +234,106 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"))
 
 
+def able(n: Column, m: Column, i: Column, j: Column) -> Column:
+    """Can sets of sizes n and m with a shared shingle at positions i and j link?"""
+    return 7 * (F.least(i, j) + F.least(n - i, m - j)) >= 3 * (n + m)
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, n, m, c, first): the pairs (a, b) whose shared prefix shingles c, with what may follow them, are enough to link.
+
+    first: may one of these shingles be the first that they share?
+    """
+    after = lambda n: F.floor((3 * n + 3) / 4) - 1  # noqa: E731  what a set has behind its prefix
+    sums = pairs.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"), F.max("first").alias("first"))
+    return sums.where(F.col("first") & (7 * (F.col("c") + F.greatest(after(F.col("n")), after(F.col("m")))) >= 3 * (F.col("n") + F.col("m")))).select("a", "b")
+
+
+def short_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs for counted() of short lists in rows (token, node, n, pos, comp)."""
+    x, y = rows.alias("x"), rows.alias("y")
+    c = lambda name: F.col(name).cast("long")
+    ok = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    ok = ok & able(c("x.n"), c("y.n"), c("x.pos"), c("y.pos"))
+    first = 7 * F.least(c("x.n") - c("x.pos"), c("y.n") - c("y.pos")) >= 3 * (c("x.n") + c("y.n"))
+    return x.join(y, ok).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), c("x.n").alias("n"), c("y.n").alias("m"), F.lit(1).cast("long").alias("c"), first.alias("first"))
+
+
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of the lists in rows (token, node, n, pos, comp), by block skipping."""
+    """Pairs for counted() of lists of any length in rows (token, node, n, pos, comp), by block skipping."""
     binned = rows.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
     count = binned.groupBy("token", "bin").agg(F.count("*").alias("c"))
     cut = binned.join(count, ["token", "bin"]).withColumn("sub", F.pmod(F.hash("node"), F.ceil(F.col("c") / BLOCK).cast("int")))
-    blocks = materialize(cut.groupBy("token", "bin", "sub").agg(F.min("n").alias("small"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp")).alias("rows")))
+    blocks = cut.groupBy("token", "bin", "sub").agg(F.min("n").alias("small"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp")).alias("rows"))
+    blocks = materialize(blocks)
     left, right = blocks.alias("l"), blocks.alias("r")
     near = (F.col("l.token") == F.col("r.token")) & F.col("r.bin").between(F.col("l.bin"), F.col("l.bin") + 1) & ((F.col("r.bin") > F.col("l.bin")) | (F.col("r.sub") >= F.col("l.sub")))
-    enough = 7 * F.least("l.rest", "r.rest") >= 3 * (F.col("l.small") + F.col("r.small"))
-    met = left.join(right, near & enough).select(F.col("l.rows").alias("x"), F.col("r.rows").alias("y"))
+    enough = 7 * (F.least("l.far", "r.far").cast("long") + F.least("l.rest", "r.rest")) >= 3 * (F.col("l.small").cast("long") + F.col("r.small"))
+    same = ((F.col("l.bin") == F.col("r.bin")) & (F.col("l.sub") == F.col("r.sub"))).alias("same")
+    met = left.join(right, near & enough).select(same, F.col("l.rows").alias("x"), F.col("r.rows").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "n", "m", "c", "first"]
         for batch in batches:
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            out = [np.zeros((0, 5), np.int64)]
+            for same, x, y in zip(batch.column("same").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 f = lambda v, name: v.values.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
-                nx, ny = f(x, "n")[:, None], f(y, "n")
-                rest = np.minimum(nx - f(x, "pos")[:, None], ny - f(y, "pos"))
-                ok = (7 * rest >= 3 * (nx + ny)) & (f(x, "comp")[:, None] != f(y, "comp"))
-                i, j = np.nonzero(ok)
-                a, b = f(x, "node")[i], f(y, "node")[j]
-                out_a.append(np.minimum(a, b))
-                out_b.append(np.maximum(a, b))
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                nx, ny, i, j = f(x, "n")[:, None], f(y, "n"), f(x, "pos")[:, None], f(y, "pos")
+                rest = np.minimum(nx - i, ny - j)
+                ok = (7 * (np.minimum(i, j) + rest) >= 3 * (nx + ny)) & (f(x, "comp")[:, None] != f(y, "comp"))
+                u, v = np.nonzero(np.triu(ok, 1) if same else ok)
+                a, b, n, m = f(x, "node")[u], f(y, "node")[v], nx[u, 0], ny[v]
+                first, turn = (7 * rest >= 3 * (nx + ny))[u, v], a > b
+                out.append(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, m, n), np.where(turn, n, m), first], 1))
+            pairs, c = np.unique(np.concatenate(out), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(c.astype(np.int64)), pa.array(pairs[:, 4] > 0)], names)
+
+    return met.mapInArrow(run, "a long, b long, n long, m long, c long, first boolean")
 
-    return met.mapInArrow(run, "a long, b long").where("a < b").distinct()
+
+def lead_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs for counted() of each list's leader with the rest of its list; those counts are of lists that it leads."""
+    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")
+    state = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(rank).alias("lead")).where("low < high")
+    rows = rows.join(state.select("token", "lead"), "token").where("comp <> lead.comp")
+    n, m, i, j = (F.col(x).cast("long") for x in ("n", "lead.n", "pos", "lead.pos"))
+    rows = rows.where(able(n, m, i, j))
+    return rows.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), n.alias("n"), m.alias("m"), F.lit(1).cast("long").alias("c"), F.lit(True).alias("first"))
+
+
+def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(comp, rows["node"] == comp["id"], "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     base, sketch = sizes(docs)
     found = lists(docs, sketch)
-    links = None
+    links = comp = None
+
+    def compare(pairs: DataFrame) -> DataFrame | None:
+        pairs = materialize(counted(pairs))
+        if pairs.isEmpty():
+            return links
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        new = linked(pairs, wanted_sets(docs, base, nodes))
+        return new if links is None else links.unionByName(new)
+
     if not found.isEmpty():
-        sets = wanted_sets(docs, found.select("node").distinct())
-        comp = None
-        for turn in range(ROUNDS + 1):
-            rows = found.withColumn("comp", F.col("node")) if comp is None else found.join(comp, found["node"] == comp["id"], "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
-            rows = materialize(rows)
-            rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "comp")
-            state = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(rank).alias("lead")).where("low < high")
-            rows = rows.join(state.select("token", "c", "lead"), "token")
-            if turn < ROUNDS:
-                # compare leaders of long lists; others wait
-                lead = F.col("lead")
-                able = 7 * F.least(F.col("n") - F.col("pos"), lead["n"] - lead["pos"]) >= 3 * (F.col("n") + lead["n"])
-                pairs = rows.where((F.col("c") > LONG) & (F.col("comp") != lead["comp"]) & able).select(F.least("node", lead["node"]).alias("a"), F.greatest("node", lead["node"]).alias("b")).distinct()
-                found = materialize(rows.where((F.col("c") <= LONG) | (F.col("node") != lead["node"])).select("token", "node", "n", "pos"))
-            else:
-                pairs = block_pairs(rows.select("token", "node", "n", "pos", "comp"))
-            new = linked(pairs, sets)
-            links = new if links is None else links.unionByName(new)
-            if turn < ROUNDS:
-                comp = materialize(components(links))
+        long = found.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > LONG)
+        long = materialize(found.join(long, "token").select("token", "node", "n", "pos", "c"))
+        for turn in range(ROUNDS if not long.isEmpty() else 0):
+            new = compare(lead_pairs(with_components(long.drop("c"), comp), turn))
+            if new is links:
+                break
+            links, comp = new, materialize(components(new))
+        rows = with_components(found, comp)
+        alive = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
+        rows = materialize(rows.join(alive.select("token", "c"), "token"))
+        pairs = short_pairs(rows.where(F.col("c") <= BLOCK)).unionByName(block_pairs(rows.where(F.col("c") > BLOCK).drop("c")))
+        links = compare(pairs)
     label = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
     if links is not None:
         merged = components(links)
