@@ -7,9 +7,9 @@ Two sets of sizes a and b link when 7 * overlap >= 3 * (a + b), which is a Jacca
    fixed order is right; this one keeps common passages out of the prefixes.
 2. Index. The first n - ceil(3 n / 4) + 1 shingles of a set go to the lists of the index with set size and position; two
    sets that link share a list. Entries without another of a size that can link in their list are dropped.
-3. Answers by relation. In long lists a leader is compared with all; what links with it becomes one component, and a
-   pair inside a component needs no comparison, as its answer follows from that of the leader. Lists of one
-   component are done.
+3. Answers by relation. In long lists some leaders are compared with all; what links with one becomes one component, and
+   a pair inside a component needs no comparison, as its answer follows from that of the leader. In the next round
+   leaders come from the largest component of a list, and only sets outside it are compared. Lists of one component are done.
 4. Block skipping. What is left of long lists is cut into blocks by size; a pair of blocks is skipped if sizes or the
    positions of its entries (of a shared shingle at positions i and j, no more than the lesser can be shared before it, nor
    than the shorter rest from it) rule out enough overlap; entries of the others are tested alike, and by component.
@@ -43,9 +43,11 @@ SHINGLE = 5
 BUCKETS = 1 << 20
 PART = 1 << 14
 BLOCK = 128
-ROUNDS = 2
-#: Lists with more entries than this get leaders.
-LONG = 12
+#: Lists with more entries than this get leaders: in a first round one, then more, up to as many. Rounds end when what is
+#: left to compare is about as long as the lists, or at the last; they save comparisons and decide nothing.
+LONG, LEADERS, ROUNDS = 12, 16, 3
+#: Most lists of one leader that are counted together.
+TOGETHER = 4096
 #: Most bits of a filter of document ids.
 FILTER_BITS = 1 << 27
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -260,47 +262,76 @@ def short_pairs(rows: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs for counted() of lists of any length in rows (token, node, n, pos, comp), by block skipping."""
+    """Pairs for counted() of lists of any length in rows (token, node, n, pos, comp, k), by block skipping; k: a node's lists.
+
+    Block numbers depend on the nodes, so lists with the same leader (least hash) have much the same blocks. They are
+    counted together, and a pair is left out if even all lists that one of them has elsewhere don't make its count enough.
+    """
     binned = rows.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    count = binned.groupBy("token", "bin").agg(F.count("*").alias("c"))
-    cut = binned.join(count, ["token", "bin"]).withColumn("sub", F.pmod(F.hash("node"), F.ceil(F.col("c") / BLOCK).cast("int")))
-    blocks = cut.groupBy("token", "bin", "sub").agg(F.min("n").alias("small"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp")).alias("rows"))
+    lists = binned.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("lead"))
+    level = F.pow(2, F.ceil(F.log2(F.greatest(F.col("c") / BLOCK, F.lit(1))))).cast("int")
+    lists = lists.select("token", level.alias("level"), F.col("lead.node").alias("lead"), F.pmod("token", F.ceil(F.col("lead.n") / (4 * TOGETHER))).alias("chunk"))
+    cut = binned.join(lists, "token").withColumn("sub", F.pmod(F.hash("node"), F.col("level")))
+    blocks = cut.groupBy("token", "lead", "chunk", "level", "bin", "sub").agg(F.min("n").alias("small"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp", "k")).alias("rows"))
     blocks = materialize(blocks)
     left, right = blocks.alias("l"), blocks.alias("r")
     near = (F.col("l.token") == F.col("r.token")) & F.col("r.bin").between(F.col("l.bin"), F.col("l.bin") + 1) & ((F.col("r.bin") > F.col("l.bin")) | (F.col("r.sub") >= F.col("l.sub")))
     enough = 7 * (F.least("l.far", "r.far").cast("long") + F.least("l.rest", "r.rest")) >= 3 * (F.col("l.small").cast("long") + F.col("r.small"))
-    same = ((F.col("l.bin") == F.col("r.bin")) & (F.col("l.sub") == F.col("r.sub"))).alias("same")
-    met = left.join(right, near & enough).select(same, F.col("l.rows").alias("x"), F.col("r.rows").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "n", "m", "c", "first"]
-        for batch in batches:
-            out = [np.zeros((0, 5), np.int64)]
-            for same, x, y in zip(batch.column("same").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                f = lambda v, name: v.values.field(name).to_numpy(zero_copy_only=False).astype(np.int64)
-                nx, ny, i, j = f(x, "n")[:, None], f(y, "n"), f(x, "pos")[:, None], f(y, "pos")
-                rest = np.minimum(nx - i, ny - j)
-                ok = (7 * (np.minimum(i, j) + rest) >= 3 * (nx + ny)) & (f(x, "comp")[:, None] != f(y, "comp"))
-                u, v = np.nonzero(np.triu(ok, 1) if same else ok)
-                a, b, n, m = f(x, "node")[u], f(y, "node")[v], nx[u, 0], ny[v]
-                first, turn = (7 * rest >= 3 * (nx + ny))[u, v], a > b
-                out.append(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, m, n), np.where(turn, n, m), first], 1))
-            pairs, c = np.unique(np.concatenate(out), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(c.astype(np.int64)), pa.array(pairs[:, 4] > 0)], names)
-
-    return met.mapInArrow(run, "a long, b long, n long, m long, c long, first boolean")
+    key = ["lead", "chunk", "level", "bin", "sub", "bin2", "sub2"]
+    met = left.join(right, near & enough).select("l.lead", "l.chunk", "l.level", "l.bin", "l.sub", F.col("r.bin").alias("bin2"), F.col("r.sub").alias("sub2"), F.col("l.rows").alias("x"), F.col("r.rows").alias("y"))
+
+    def count(t: pa.Table) -> pa.Table:
+        sides = []
+        for side in ("x", "y"):
+            column = t.column(side).combine_chunks()
+            ends, flat = column.offsets.to_numpy(), column.values
+            f = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64)[ends[0] : ends[-1]] for c in ("node", "n", "pos", "comp", "k")}
+            names, at, place = np.unique(f["node"], return_index=True, return_inverse=True)
+            sides.append((names, place, ends - ends[0], f["pos"], *(f[c][at] for c in ("n", "comp", "k"))))
+        (xs, xi, xe, xp, xn, xc, xk), (ys, yi, ye, yp, yn, yc, yk) = sides
+        both = 3 * (xn[:, None] + yn)
+        c, first = np.zeros(both.shape, np.int64), np.zeros(both.shape, bool)
+        for r in range(len(t)):
+            u, v, i, j = xi[xe[r] : xe[r + 1]], yi[ye[r] : ye[r + 1]], xp[xe[r] : xe[r + 1], None], yp[ye[r] : ye[r + 1]]
+            at = np.ix_(u, v)
+            rest = np.minimum(xn[u][:, None] - i, yn[v] - j)
+            c[at] += 7 * (np.minimum(i, j) + rest) >= both[at]
+            first[at] |= 7 * rest >= both[at]
+        elsewhere = np.minimum((xk - np.bincount(xi, minlength=len(xs)))[:, None], yk - np.bincount(yi, minlength=len(ys)))
+        after = np.maximum(((3 * xn + 3) // 4 - 1)[:, None], (3 * yn + 3) // 4 - 1)
+        ok = (c > 0) & (xc[:, None] != yc) & (7 * (c + elsewhere + after) >= both)
+        same = t.column("bin")[0] == t.column("bin2")[0] and t.column("sub")[0] == t.column("sub2")[0]
+        u, v = np.nonzero(np.triu(ok, 1) if same else ok)  # both sides are then the same nodes in the same order
+        a, b, n, m = xs[u], ys[v], xn[u], yn[v]
+        turn = a > b
+        cols = (np.where(turn, b, a), np.where(turn, a, b), np.where(turn, m, n), np.where(turn, n, m), c[u, v], first[u, v])
+        return pa.table(dict(zip(("a", "b", "n", "m", "c", "first"), map(pa.array, cols), strict=True)))
+
+    return met.groupBy(*key).applyInArrow(count, "a long, b long, n long, m long, c long, first boolean")
 
 
 def lead_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs for counted() of each list's leader with the rest of its list; those counts are of lists that it leads."""
-    rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")
-    state = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(rank).alias("lead")).where("low < high")
-    rows = rows.join(state.select("token", "lead"), "token").where("comp <> lead.comp")
+    """Pairs for counted() of each list's leaders with the rest of it, rows (token, node, n, pos, comp, size).
+
+    Half of the leaders come from the list's largest component; the counts are of the lists that a leader leads.
+    """
+    rank = lambda k: F.struct((F.lit(0) if k % 2 else -F.col("size")).alias("size"), F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("h"), "node", "n", "pos", "comp")
+    leaders = F.array_distinct(F.transform(F.array(*(F.min(rank(k)) for k in range(min(LEADERS, 4**turn)))), lambda s: F.struct(s["node"].alias("node"), s["n"].alias("n"), s["pos"].alias("pos"), s["comp"].alias("comp"))))
+    state = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), leaders.alias("leaders")).where("low < high")
+    rows = rows.join(state.select("token", F.explode("leaders").alias("lead")), "token").where("comp <> lead.comp")
     n, m, i, j = (F.col(x).cast("long") for x in ("n", "lead.n", "pos", "lead.pos"))
     rows = rows.where(able(n, m, i, j))
     return rows.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), n.alias("n"), m.alias("m"), F.lit(1).cast("long").alias("c"), F.lit(True).alias("first"))
 
 
+def left_over(rows: DataFrame) -> tuple[int, int]:
+    """Of lists in rows (token, comp): pairs of entries of different components, and entries."""
+    groups = rows.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    lists = groups.groupBy("token").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    got = lists.agg(F.sum(F.col("c") * F.col("c") - F.col("same")), F.sum("c")).first()
+    return (got[0] or 0) // 2, got[1] or 0
+
+
 def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return rows.withColumn("comp", F.col("node"))
@@ -313,26 +344,38 @@ def join_components(docs: DataFrame) -> DataFrame:
     found = lists(docs, sketch)
     links = comp = None
 
-    def compare(pairs: DataFrame) -> DataFrame | None:
+    def compare(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
         pairs = materialize(counted(pairs))
         if pairs.isEmpty():
             return links
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        new = linked(pairs, wanted_sets(docs, base, nodes))
+        if sets is None:
+            sets = wanted_sets(docs, base, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        new = linked(pairs, sets)
         return new if links is None else links.unionByName(new)
 
     if not found.isEmpty():
         long = found.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > LONG)
-        long = materialize(found.join(long, "token").select("token", "node", "n", "pos", "c"))
-        for turn in range(ROUNDS if not long.isEmpty() else 0):
-            new = compare(lead_pairs(with_components(long.drop("c"), comp), turn))
-            if new is links:
+        long = materialize(found.join(long.select("token"), "token"))
+        # equal sizes need a tenth of the set in shared lists: others gain nothing from leaders
+        dense = long.groupBy("node", "n").agg(F.count("*").alias("k")).where("10 * k >= n").select("node")
+        long = materialize(long.join(dense, "node", "left_semi").select("token", "node", "n", "pos"))
+        sets = None
+        for turn in range(ROUNDS):
+            rows = materialize(with_components(long, comp))
+            pairs, entries = left_over(rows)
+            if pairs <= 2 * entries:
                 break
-            links, comp = new, materialize(components(new))
+            if sets is None:
+                sets = wanted_sets(docs, base, long.select("node").distinct())
+            size = rows.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
+            new = compare(lead_pairs(rows.join(size, "comp"), turn), sets)
+            if new is not links:
+                links, comp = new, materialize(components(new))
         rows = with_components(found, comp)
         alive = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
         rows = materialize(rows.join(alive.select("token", "c"), "token"))
-        pairs = short_pairs(rows.where(F.col("c") <= BLOCK)).unionByName(block_pairs(rows.where(F.col("c") > BLOCK).drop("c")))
+        of_node = rows.groupBy("node").agg(F.count("*").alias("k"))
+        pairs = short_pairs(rows.where(F.col("c") <= BLOCK)).unionByName(block_pairs(rows.where(F.col("c") > BLOCK).drop("c").join(of_node, "node")))
         links = compare(pairs)
     label = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
     if links is not None:
