@@ -45,8 +45,8 @@ PART = 1 << 14
 BLOCK = 128
 #: Lists with more entries than this get leaders: in a first round one, then more, up to as many. Rounds end when what is
 #: left to compare is about as long as the lists, or at the last; they save comparisons and decide nothing.
-LONG, LEADERS, ROUNDS = 12, 16, 3
-#: Most lists of one leader that are counted together.
+LONG, LEADERS, ROUNDS = 12, 16, 5
+#: About the most lists of a node that are counted together.
 TOGETHER = 4096
 #: Most bits of a filter of document ids.
 FILTER_BITS = 1 << 27
@@ -262,16 +262,18 @@ def short_pairs(rows: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs for counted() of lists of any length in rows (token, node, n, pos, comp, k), by block skipping; k: a node's lists.
+    """Pairs for counted() of lists of any length in rows (token, node, n, pos, comp, k, size), by block skipping.
 
-    Block numbers depend on the nodes, so lists with the same leader (least hash) have much the same blocks. They are
-    counted together, and a pair is left out if even all lists that one of them has elsewhere don't make its count enough.
+    k: a node's lists; size: of its component. Lists with the same largest component are cut into blocks by the same hash of
+    nodes and counted together; a pair is left out if even all lists that one of them has elsewhere don't make its count enough.
     """
     binned = rows.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    lists = binned.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("lead"))
-    level = F.pow(2, F.ceil(F.log2(F.greatest(F.col("c") / BLOCK, F.lit(1))))).cast("int")
-    lists = lists.select("token", level.alias("level"), F.col("lead.node").alias("lead"), F.pmod("token", F.ceil(F.col("lead.n") / (4 * TOGETHER))).alias("chunk"))
-    cut = binned.join(lists, "token").withColumn("sub", F.pmod(F.hash("node"), F.col("level")))
+    top = binned.groupBy("token").agg(F.min(F.struct(-F.col("size"), "comp"))["comp"].alias("lead"))
+    binned = materialize(binned.join(top, "token"))
+    nodes = binned.select("lead", "node", "n").distinct().groupBy("lead").agg(F.count("*").alias("nodes"), F.max("n").alias("most"))
+    level = F.pow(2, F.ceil(F.log2(F.greatest(F.col("nodes") / BLOCK, F.lit(1))))).cast("int")
+    cut = binned.join(nodes.select("lead", level.alias("level"), F.ceil(F.col("most") / (4 * TOGETHER)).alias("chunks")), "lead")
+    cut = cut.withColumns({"sub": F.pmod(F.hash("node"), F.col("level")), "chunk": F.pmod("token", F.col("chunks"))})
     blocks = cut.groupBy("token", "lead", "chunk", "level", "bin", "sub").agg(F.min("n").alias("small"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp", "k")).alias("rows"))
     blocks = materialize(blocks)
     left, right = blocks.alias("l"), blocks.alias("r")
@@ -374,8 +376,9 @@ def join_components(docs: DataFrame) -> DataFrame:
         rows = with_components(found, comp)
         alive = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high")
         rows = materialize(rows.join(alive.select("token", "c"), "token"))
-        of_node = rows.groupBy("node").agg(F.count("*").alias("k"))
-        pairs = short_pairs(rows.where(F.col("c") <= BLOCK)).unionByName(block_pairs(rows.where(F.col("c") > BLOCK).drop("c").join(of_node, "node")))
+        of_node = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        of_node = of_node.join(of_node.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "k", "size")
+        pairs = short_pairs(rows.where(F.col("c") <= LONG)).unionByName(block_pairs(rows.where(F.col("c") > LONG).drop("c").join(of_node, "node")))
         links = compare(pairs)
     label = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
     if links is not None:
