@@ -7,7 +7,7 @@ centres are farther apart than the threshold plus both covering radii, accepted
 threshold less both, and opened otherwise; single points are compared by cosine in double precision.
 
 Scale: points go to blocks by their nearest pivot (a bounded sample, PIVOTS times a fixed number), blocks are split to at
-most BLOCK points, each block's tree is built once, and every pair of blocks that the same bound leaves is a task's work. A
+most BLOCK points, and every pair of blocks is a task's work. A level that gathers too few points is not grown: its node is a leaf. A
 pair of blocks returns counts and a spanning forest of its links, never the links, so a group of m near copies gives m rows.
 The number of block pairs grows with the square of the input if no bound prunes: in high dimensions, where points
 lie about equally far from each other, an exact join has no way around it; the constant is a matrix product.
@@ -62,8 +62,10 @@ class Tree:
             half, kids = scale / 2, []
             while half > self.radius[node]:  # levels at which all points share one child
                 half /= 2
-            here = self.centre[node]
+            here, all_points, after = self.centre[node], len(points), len(todo)
             while len(points):
+                if len(kids) >= 64 and all_points - len(points) < 2 * len(kids):
+                    break  # points too far apart for this level to gather them: the node stays a leaf
                 near = d <= half
                 kid = self.add(here, points[near], d[near])
                 kids.append(kid)
@@ -72,6 +74,9 @@ class Tree:
                 if len(points):
                     here = int(points[0])
                     d = np.linalg.norm(self.x[points] - self.x[here], axis=1)
+            if len(points):
+                del todo[after:], self.centre[kids[0] :], self.radius[kids[0] :], self.points[kids[0] :], self.children[kids[0] :]
+                continue
             self.children[node] = np.array(kids)
         return root
 
