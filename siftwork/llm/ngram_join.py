@@ -45,7 +45,7 @@ PART = 1 << 14
 BLOCK = 128
 #: Lists with more entries than this get leaders: in a first round one, then more, up to as many. Rounds end when what is
 #: left to compare is about as long as the lists, or at the last; they save comparisons and decide nothing.
-LONG, LEADERS, ROUNDS = 12, 16, 5
+LONG, LEADERS, ROUNDS = 12, 16, 3
 #: About the most lists of a node that are counted together.
 TOGETHER = 4096
 #: Most bits of a filter of document ids.
@@ -269,10 +269,11 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     """
     binned = rows.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
     top = binned.groupBy("token").agg(F.min(F.struct(-F.col("size"), "comp"))["comp"].alias("lead"))
-    binned = materialize(binned.join(top, "token"))
-    nodes = binned.select("lead", "node", "n").distinct().groupBy("lead").agg(F.count("*").alias("nodes"), F.max("n").alias("most"))
+    top = materialize(top)
+    nodes = binned.join(top, "token").select("lead", "node", "n").distinct().groupBy("lead").agg(F.count("*").alias("nodes"), F.max("n").alias("most"))
     level = F.pow(2, F.ceil(F.log2(F.greatest(F.col("nodes") / BLOCK, F.lit(1))))).cast("int")
-    cut = binned.join(nodes.select("lead", level.alias("level"), F.ceil(F.col("most") / (4 * TOGETHER)).alias("chunks")), "lead")
+    lists = materialize(top.join(nodes.select("lead", level.alias("level"), F.ceil(F.col("most") / (4 * TOGETHER)).alias("chunks")), "lead"))
+    cut = binned.join(lists, "token")
     cut = cut.withColumns({"sub": F.pmod(F.hash("node"), F.col("level")), "chunk": F.pmod("token", F.col("chunks"))})
     blocks = cut.groupBy("token", "lead", "chunk", "level", "bin", "sub").agg(F.min("n").alias("small"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp", "k")).alias("rows"))
     blocks = materialize(blocks)
