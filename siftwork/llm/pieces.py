@@ -43,7 +43,7 @@ class Pieces:
     """The lattice of one model: which substrings are arcs, and how two of them join."""
 
     #: Words of each of two generations, and joins, that a worker keeps.
-    CACHE, PAIRS = 1 << 17, 1 << 19
+    CACHE, PAIRS = 1 << 19, 1 << 19
 
     def __init__(self, path: str):
         import sentencepiece
