@@ -3,12 +3,17 @@
 Pass one scores the containers of each page: every paragraph gives its text, less the text of links, to the element
 around it and half of that to the next one. Containers are named by generalised paths (tag and first class of every
 element, digits as 0), and each page votes for its paths with their shares of the page. Spark sums the votes by host and
-path and takes each host's winner. Pass two extracts the winner's text from each page; a page without that path, or
-whose own best holds far more, uses its own best.
+path and takes each host's winner, and finds the containers that a host repeats: outside article and main, at most
+MINOR thousandths of a page, with one and the same text on more than half of the host's pages (three at least).
 
-Scale: votes are sums with map-side combine, so a host may own any share of the pages. The winners, one short row for
-each host, are written first: Spark then knows their size and sends them to all tasks if they are below its broadcast
-threshold, and otherwise joins by shuffle with its skew handling.
+Pass two takes the winner (the page's own best where the page has not that path) and climbs from it. Where the outermost
+article and main elements hold NEARLY all of the page's text, they are the main text, with all that is in them.
+Otherwise it is the whole page, less the containers that the host repeats (never the winner, or what is in or around it)
+and less blocks outside the winner that are links for the most part.
+
+Scale: votes and counts are sums with map-side combine, so a host may own any share of the pages. The winners, one short
+row for each host, are written first: Spark then knows their size and sends them to all tasks if they are below its
+broadcast threshold, and otherwise joins by shuffle with its skew handling.
 
 Cases: null and empty html give empty text; a null url is the host ''; text outside any element counts; unclosed and
 crossed elements close at the next element that ends them; repeated rows give repeated results.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -40,6 +46,8 @@ CLOSES_P = BLOCK - {"br", "html", "body", "head", "option", "caption", "tbody",
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Class, id or role words of what is not the article.
 NOT_MAIN = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|comments?|commentlist|disqus|respond|repl(?:y|ies)|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|topbar|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|toolbar|login|signup|search|skip|paywall|complementary|contentinfo|reader-comments|discussion)(?:$|[\s_-])")
+#: Thousandths of a page's text that a repeated container holds at most, and that article and main hold at least if they are all.
+MINOR, NEARLY = 100, 900
 _DIGITS = re.compile(r"[0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -161,28 +169,75 @@ class Page:
                     points[self.path[self.container(self.parent[near])]] += n / 2
         return {p: round(1000 * v / total) for p, v in points.items()} if total else {}
 
-    def text(self, path: str) -> str:
-        """Text inside the elements of a path: blocks in page order, each trimmed with single spaces."""
-        inside: dict[int, bool] = {}
+    def articles(self) -> list[bool]:
+        """For each element, whether it is or stands in an article or main."""
+        inside = [False]
+        for i in range(1, len(self.parent)):  # parents first, so no deep recursion
+            inside.append(inside[self.parent[i]] or self.tag[i] in ("article", "main"))
+        return inside
 
-        def within(node: int) -> bool:
-            got = inside.get(node)
-            if got is None:
-                got = inside[node] = self.path[node] == path or (node > 0 and within(self.parent[node]))
-            return got
+    def minor(self) -> dict[str, int]:
+        """Path -> checksum of the text, of containers outside article and main that hold little of the page's text."""
+        held, total, inside = [0] * len(self.parent), 0, self.articles()
+        for node, text, link in self.runs:
+            if node >= 0 and not link:
+                n = len(text.strip())
+                held[node] += n
+                total += n
+        by_path: dict[str, int] = defaultdict(int)
+        for i in range(len(self.parent) - 1, 0, -1):
+            held[self.parent[i]] += held[i]
+            if self.tag[i] in CONTAINER:
+                by_path[self.path[i]] += held[i]
+        sums = {p: 0 for p, n in by_path.items() if n * 1000 <= MINOR * total}
+        apart = {self.path[i] for i in range(1, len(self.parent)) if inside[i]}
+        for node, text, _ in self.runs:
+            if node >= 0 and text.strip():
+                at = self.container(node)
+                while at > 0:
+                    if (p := self.path[at]) in sums:
+                        sums[p] = zlib.crc32(text.strip().encode("utf-8", "surrogatepass"), sums[p])
+                    at = self.container(self.parent[at])
+        return {p: v for p, v in sums.items() if v and p not in apart}
 
+    def text(self, path: str) -> str:
+        """Text inside the elements of a path: blocks in page order, each trimmed with single spaces."""
+        return self.blocks(self.within(path), [False] * len(self.parent))
+
+    def main(self, path: str, repeated: frozenset[str] = frozenset()) -> str:
+        """All main text of the page, from the elements of `path` up, without the containers that the host repeats."""
+        sure = self.within(path)
+        articles, kept = self.articles(), [True]
+        for i in range(1, len(self.parent)):
+            p = self.path[i]
+            spared = sure[i] or articles[i] or p not in repeated or path.startswith(f"{p}/")
+            kept.append(sure[i] or articles[i] or (kept[self.parent[i]] and spared))
+        sizes = [(node, len(text.strip())) for node, text, link in self.runs if node >= 0 and not link]
+        total = sum(n for i, n in sizes if kept[i])
+        if total and sum(n for i, n in sizes if articles[i]) * 1000 >= NEARLY * total:
+            return self.blocks(articles, [False] * len(self.parent))
+        sure = [a or b for a, b in zip(sure, articles, strict=True)]
+        return self.blocks(sure, [k and not x for k, x in zip(kept, sure, strict=True)])
+
+    def within(self, path: str) -> list[bool]:
+        inside: list[bool] = []
         for i in range(len(self.parent)):  # parents first, so no deep recursion
-            within(i)
-        blocks, part = [], []
-        for node, text, _ in self.runs:
-            if node < 0:
-                if part:
-                    blocks.append("".join(part))
-                    part = []
-            elif inside[node]:
-                part.append(text)
-        blocks.append("".join(part))
-        cleaned = (_SPACE.sub(" ", entities.unescape(b)).strip() for b in blocks)
+            inside.append(self.path[i] == path or (i > 0 and inside[self.parent[i]]))
+        return inside
+
+    def blocks(self, inside: list[bool], around: list[bool]) -> str:
+        """Text of elements in `inside`, and of those in `around` but for blocks that are links for the most part."""
+        out, part = [], []
+        for node, text, link in [*self.runs, (-1, "", False)]:
+            if node >= 0:
+                if inside[node] or around[node]:
+                    part.append((text, link, inside[node]))
+            elif part:
+                words = sum(len(t.strip()) for t, link, _ in part if not link)
+                if any(sure and t.strip() for t, _, sure in part) or words * 2 >= sum(len(t.strip()) for t, _, _ in part):
+                    out.append("".join(t for t, _, _ in part))
+                part = []
+        cleaned = (_SPACE.sub(" ", entities.unescape(b)).strip() for b in out)
         return " ".join(b for b in cleaned if b)
 
 
@@ -195,19 +250,32 @@ def host_of(url: Column) -> Column:
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, path): the container path that the pages of each host vote for."""
+    """(host, path, repeated): the container path that the pages of each host vote for, and those that they repeat."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            sums: dict[tuple[str, str], int] = defaultdict(int)
+            #: (host, path, mark) -> votes, pages; a path without a mark has the votes, one with a mark (its text) the
+            #: pages where it is minor, and no path the pages of the host
+            sums: dict[tuple[str, str | None, int | None], list[int]] = defaultdict(lambda: [0, 0])
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, share in Page(source or "").shares().items():
-                    sums[host, path] += share
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in sums], pa.string()), pa.array([p for _, p in sums], pa.string()), pa.array([*sums.values()], pa.int64())], ["host", "path", "votes"])
+                page = Page(source or "")
+                shares = page.shares()
+                for path, share in shares.items():
+                    sums[host, path, None][0] += share
+                if shares:
+                    sums[host, None, None][1] += 1
+                    for path, mark in page.minor().items():
+                        sums[host, path, mark][1] += 1
+            keys = [pa.array([k[i] for k in sums], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1))], ["host", "path", "mark", "votes", "n"])
 
     used = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    summed = used.mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return materialize(summed.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path")))
+    summed = used.mapInArrow(vote, "host string, path string, mark long, votes long, n long").groupBy("host", "path", "mark").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"))
+    summed = materialize(summed.where("mark is null or n > 2"))
+    totals = summed.where("path is null").select("host", F.col("n").alias("pages"))
+    often = summed.where("mark is not null").join(totals, "host").where("n * 2 > pages").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("repeated"))
+    best = summed.where("path is not null and mark is null").groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    return materialize(best.join(often, "host", "left"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -216,16 +284,14 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = []
-            for path, source in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for path, repeated, source in zip(*(batch.column(c).to_pylist() for c in ("path", "repeated", "html")), strict=True):
                 page = Page(source or "")
-                shares = page.shares()
-                own = best_path(shares)
-                use = path if path is not None and shares.get(path, 0) * 4 >= shares.get(own, 0) and path in shares else own
-                texts.append(page.text(use))
+                use = path if path is not None and path in page.path else best_path(page.shares())
+                texts.append(page.main(use, frozenset(repeated or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     used = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    found = used.join(winners(pages), "host", "left").select("page_id", "url", "path", "html")
+    found = used.join(winners(pages), "host", "left").select("page_id", "url", "path", "repeated", "html")
     return found.mapInArrow(run, T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", pages.schema["url"].dataType), T.StructField("text", T.StringType())]))
 
 

@@ -224,6 +224,15 @@ def test_hosts_vote(spark):
     assert rows(pages.digest(p.limit(0))) == []
 
 
+def test_other_containers_of_a_host_stay(spark):
+    page = "<html><body><div class='main-0'><p>" + "story text " * 20 + "</p></div><div class='note'>{}</div><div class='foot'>the same words</div></body></html>"
+    data = [(i, f"http://h.x/{i}", page.format(f"note of page {'abcdef'[i]}")) for i in range(6)]
+    data.append((9, "http://h.x/9", page.format("x").replace("<body>", "<body><div class='long'><p>" + "another layout " * 60 + "</p></div>")))
+    out = {r["page_id"]: r["text"] for r in rows(pages.digest(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert out[0] == "story text " * 20 + "note of page a"
+    assert out[9] == "another layout " * 60 + "story text " * 20 + "x"
+
+
 # ---- vectors ----
 
 

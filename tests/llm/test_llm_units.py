@@ -266,12 +266,35 @@ def test_main_text_of_a_page():
     assert p.text(pages.best_path(p.shares())) == "Head & line One two three four féve six seven"
 
 
+def test_main_text_of_a_page_from_its_root():
+    p = pages.Page(PAGE)
+    assert p.main(pages.best_path(p.shares())) == "Head & line One two three four féve six seven"
+
+
 @pytest.mark.parametrize("source,want", [("", ""), ("just text", "just text"), ("<p>a<p>b", "a b"), ("<article>x <nav>m</nav>y</article", "x y"), ("a < b", "a < b"), ("<p>cut <b", "cut"), ("<div hidden>no</div><p>yes", "yes"), ("<nav>m<article><p>t</p></article>", "t")])
 def test_broken_pages(source, want):
     p = pages.Page(source)
     assert p.text(pages.best_path(p.shares())) == want
 
 
+LEAD, BODY, MORE = "lead " * 20, "body " * 100, "more " * 60
+
+
+@pytest.mark.parametrize("source,want", [
+    (f"<article><h1>Title</h1><p>{LEAD}</p><div class=content>{BODY}</div></article>", f"Title {LEAD}{BODY}"),
+    (f"<body><div class=wrap><h1>Title</h1><p>{LEAD}</p><div class=content>{BODY}</div></div></body>", f"Title {LEAD}{BODY}"),
+    (f"<body><section class=a><p>{BODY}</section><section class=b><p>{MORE}</section></body>", BODY + MORE),
+    (f"<article><p>{MORE}</p><table><tr><td>{BODY}</td></tr></table></article>", MORE + BODY),
+    (f"<main><article><p>{BODY}</article><section class=b><p>{MORE}</section></main>", BODY + MORE),
+    (f"<body><article><p>{LEAD}</article><div class=story><p>{BODY}</div></body>", LEAD + BODY),
+    (f"<body><div class=links><a href=x>{LEAD}</a></div><div class=story><p>{BODY}<a href=y>end</a></div></body>", f"{BODY}end"),
+    (f"<body><div class=top>site</div><article><p>{BODY}</article></body>", BODY),
+])
+def test_main_text_is_whole(source, want):
+    p = pages.Page(source)
+    assert p.main(pages.best_path(p.shares())) == want.strip()
+
+
 # ---- toxicity ----
 
 
