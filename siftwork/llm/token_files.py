@@ -8,7 +8,8 @@ The base of a part is the prefix sum of the ids of the parts before it; a docume
 
 Encoding is by the tokenizers library. A byte-level pre-tokenizer always splits before a space that precedes a
 character other than white space, so each such chunk is encoded once in a worker's life and found in a dictionary
-afterwards; the ids are those of the whole text (tests compare them).
+afterwards; the ids are those of the whole text (tests compare them). Texts that hold a string of an added token, such as
+<|endoftext|>, are cut there first, as the library as loaded does: the token's id stands for the string.
 
 Scale: one shuffle, a range partition on doc_id; each task writes its part alone, and the only thing gathered is a
 window over one row for each part. A task writes under a name of its own and renames at its end; the manifest that
@@ -54,12 +55,21 @@ class ChunkEncoder:
     pre-tokenizer gives each line feed a token of its own there.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, added: bool = False):
+        """added: strings of added tokens give the ids of these tokens, as by default in the library; else they are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: the library as loaded, and the added tokens' strings (of those that begin at one place it takes the longest)
+        self.loaded = Tokenizer.from_file(path) if added else None
+        tokens = {t.content: (i, t) for i, t in self.tok.get_added_tokens_decoder().items()} if added else {}
+        self.numbers = {x: np.array([i], dtype).tobytes() for x, (i, _) in tokens.items()}
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, sorted(tokens, key=len, reverse=True)))})") if tokens else None
+        #: tokens that take spaces or whole words, or are sought in normalised text, are left to the library
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for _, t in tokens.values())
+        self.always = self.tok.normalizer is not None and any(t.normalized for _, t in tokens.values())
+        self.tok.encode_special_tokens = True  # what stands between them is ordinary text
         self.dtype, self.feed = dtype, self.ids("a\nb")[1]
         self.one_feed = len(self.ids("a\n b")) == 3
         probe = "Gr\u00fc\u00df\u00e9\u0436\u65e5ing"
@@ -112,6 +122,22 @@ class ChunkEncoder:
                 spaced[x] = np.array(self.ids(f" {x}"), self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.always:
+            return [self.library(x) for x in texts]
+        if self.cuts is None or not any(map(self.cuts.search, texts)):
+            return self.between(texts)
+        if not self.plain:
+            got = iter(self.between([x for x in texts if not self.cuts.search(x)]))
+            return [self.library(x) if self.cuts.search(x) else next(got) for x in texts]
+        pieces = [self.cuts.split(x) for x in texts]  # every second one is a token
+        got = iter(self.between([y for p in pieces for y in p[::2]]))
+        return [b"".join(self.numbers[y] if k % 2 else next(got) for k, y in enumerate(p)) for p in pieces]
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def between(self, texts: list[str]) -> list[bytes]:
+        """Texts without strings of added tokens."""
         double, split = re.compile(r" \s").search, re.compile(r" (?=\S)").split
         parts = [split(x) if double(x) or x.endswith(" ") else x.split(" ") for x in texts]
         new = set().union(*(p[1:] for p in parts)).difference(self.spaced)
@@ -138,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out
         fs.create_dir(root, recursive=True)
         part = pyspark.TaskContext.get().partitionId()
         stem = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
-        encoder, end = kept(("chunks", tokenizer_path, dtype), lambda: ChunkEncoder(tokenizer_path, dtype)), np.array([end_id], dtype).tobytes()
+        encoder, end = kept(("chunks", tokenizer_path, dtype), lambda: ChunkEncoder(tokenizer_path, dtype, added=True)), np.array([end_id], dtype).tobytes()
         width, ids, offsets, names = len(end), None, [0], []
         for batch in slices(batches, "text"):
             if ids is None:

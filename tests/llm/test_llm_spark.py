@@ -141,6 +141,12 @@ def test_token_files_equal_the_library(spark, odd, none):
     assert rows(token_files.token_digest(none, BPE)) == []
 
 
+def test_token_files_hold_the_ids_of_added_tokens(spark):
+    out = rows(token_files.token_digest(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "x")], "doc_id long, text string"), BPE))
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in out] == [(1, 0, 5), (2, 5, 2)]
+    assert out[0]["ids_crc32"] == token_files.crc_of([64, 220, 50256, 275, 0])
+
+
 # ---- WARC ----
 
 

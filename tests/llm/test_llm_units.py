@@ -89,6 +89,25 @@ def test_chunks_encode_like_the_library():
     assert all(np.frombuffer(g, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
 
 
+@pytest.mark.parametrize("extra", [[], [("<|end", {}), ("two words", {"normalized": False})], [("<pad>", {"lstrip": True, "rstrip": True})]])
+def test_added_tokens_encode_like_the_library_as_loaded(tmp_path, extra):
+    from tokenizers import AddedToken, Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    if extra:
+        tok.add_tokens([AddedToken(x, **how) for x, how in extra])
+        tok.save(path := str(tmp_path / "t.json"))
+        tok = Tokenizer.from_file(path)
+    r = random.Random(2)
+    texts = ["".join(r.choice(["  ", " ", "a", "the", "\n", "é", "ing", " t", "<|endoftext|>", "<|end", "<pad>", "two words", "two", ".", " \n"]) for _ in range(r.randint(0, 30))) for _ in range(1000)]
+    texts += ["a <|endoftext|> b", "plain words only", ""]
+    got = token_files.ChunkEncoder(path, "<u4", added=True).encode(texts)
+    assert all(np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
+    if not extra:
+        assert np.frombuffer(got[1000], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
