@@ -303,6 +303,13 @@ def metadata_union(spark, sf_dir):
     return findings.first_writer(lab.where("doc_id % 2 = 0"), lab.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")), "doc_id", "quality")
 
 
+@query("metadata_union_all", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.q ELSE b.q END AS quality FROM (SELECT doc_id, CAST(quality AS BIGINT) AS q FROM labels) a FULL JOIN (SELECT doc_id, CAST(n_chars AS BIGINT) AS q FROM documents) b ON a.doc_id = b.doc_id")
+def metadata_union_all(spark, sf_dir):
+    """metadata_union of whole tables: labels first, then a value of documents."""
+    lab = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"))
+    return findings.first_writer(lab, load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("quality")), "doc_id", "quality")
+
+
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select(F.col("path").alias("filename"), F.col("rule_id").alias("rule_name"), "category", "severity", "message", F.col("line").cast("long").alias("start_line"), (F.col("nth") + 1).cast("long").alias("start_col"), F.col("line").cast("long").alias("end_line"), (F.col("nth") + 2).cast("long").alias("end_col"), "is_suppressed", "validation_status")
 
@@ -479,6 +486,15 @@ def import_prefix(spark, sf_dir):
     return imports.with_prefix(i, spark.createDataFrame([("org.junit",)], "package string"))
 
 
+
+@query("import_prefix_all", "SELECT DISTINCT l_orderkey AS k, l_linenumber AS line, package FROM (SELECT l_orderkey, l_linenumber, (['java.util.List', 'org.junit.Test', 'org.junit', 'org', 'org.junitx.A'])[(l_partkey % 5 + 1)::INT] AS package FROM lineitem) WHERE package = 'org.junit' OR starts_with(package, 'org.junit.')")
+def import_prefix_all(spark, sf_dir):
+    """import_prefix over all rows."""
+    names = ["java.util.List", "org.junit.Test", "org.junit", "org", "org.junitx.A"]
+    i = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), dealt(names, "l_partkey").alias("package"))
+    return imports.with_prefix(i, spark.createDataFrame([("org.junit",)], "package string"))
+
+
 _IMP = "regexp_extract(text, '^\\s*import\\s+([.\\w]+)', 1)"
 
 
