@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -39,10 +41,27 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that nothing uses back to the system, which an executor's limit counts."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def kept(key: tuple, make: Callable[[], Any]) -> Any:
-    """make() once in the life of a Python worker, which serves many tasks: models and their word dictionaries."""
+    """make() once for the tasks of one operator (key[0]) that a Python worker serves one after the other.
+
+    A worker outlives an operator: what another one left goes, so dictionaries of several never stand side by side.
+    """
     store = sys.modules.setdefault("_siftwork_kept", types.ModuleType("_siftwork_kept")).__dict__
     if key not in store:
+        others = [k for k in store if isinstance(k, tuple) and k[0] != key[0]]
+        for k in others:
+            del store[k]
+        if others:
+            release()
         store[key] = make()
     return store[key]
 
@@ -53,7 +72,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in batches whose column holds about `most` bytes (one row may hold more)."""
+    """The rows in order, in batches whose column holds about `most` bytes (one row may hold more); memory goes back at the end."""
     for batch in batches:
         sizes = batch.column(column).cast(pa.large_binary()) if batch.num_rows else None
         begin = total = 0
@@ -65,6 +84,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             total += n + 16
         if begin < batch.num_rows:
             yield batch.slice(begin)
+        del sizes, batch
+    release()
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:

@@ -1,20 +1,27 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
-Vectors are scaled to length one, where cosine >= t means a Euclidean distance of at most sqrt(2 - 2 t). Equal vectors
-are one point with a weight. A cover tree nests levels whose radii halve: a node's points lie within its radius, and
-its first child has the same centre. Two trees are traversed together: a pair of nodes is dropped when its
-centres are farther apart than the threshold plus both covering radii, accepted whole when they are nearer than the
-threshold less both, and opened otherwise; single points are compared by cosine in double precision.
-
-Scale: points go to blocks by their nearest pivot (a bounded sample, PIVOTS times a fixed number), blocks are split to at
-most BLOCK points, and every pair of blocks is a task's work. A level that gathers too few points is not grown: its node is a leaf. A
-pair of blocks returns counts and a spanning forest of its links, never the links, so a group of m near copies gives m rows.
-The number of block pairs grows with the square of the input if no bound prunes: in high dimensions, where points
-lie about equally far from each other, an exact join has no way around it; the constant is a matrix product.
+Vectors are scaled to length one, where cosine >= t means a Euclidean distance of at most far = sqrt(2 - 2 t). Equal
+vectors are one point with a weight.
+
+1. Cells. Every point goes to the nearest of at most PIVOTS pivots (farthest first in a sample of SAMPLE vectors), a cell
+   is cut by a hash of its points into blocks of about BLOCK points.
+2. Trees. A task builds the cover tree of a block once and writes it: nested levels whose radii halve, the first child of
+   a node at the node's own centre, every other centre farther than the level's radius from those before it.
+3. Pairs of blocks. Cells whose pivots are farther apart than far and both reaches are dropped, then blocks by centre and
+   covering radius. A pair of blocks so near that all their points link is accepted whole. No vector moves for this.
+4. Dual traversal of the pairs left, in tiles of some blocks by some blocks: a pair of nodes is dropped when its centres are
+   farther apart than far plus both covering radii, accepted whole when nearer than far less both, and opened
+   otherwise; single points are compared by cosine in double precision.
+
+Scale: a tile returns counts and a spanning forest of its links, never the links, so a group of m near copies gives m rows
+a tile. Compact blocks meet few others. In high dimensions without clusters all points lie about equally far from each
+other, no bound drops a pair, and the number of tiles grows with the square of the input: the exact join has no way around it.
+The driver gets the sample and two rows a cell.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and form their own
-component; vectors of different lengths never link; a null vec_id is left out of components and has no links; repeated
-vec_ids are rows of their own but share links; an empty table gives no rows.
+component; vectors of different lengths never link; a row with a null vec_id links like any other and its component is
+the least vec_id reachable, or null; repeated vec_ids are rows of their own; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,70 +37,71 @@ from siftwork.llm.common import components, materialize
 
 THRESHOLD = 0.9
 BLOCK = 2048
-#: Bound of the sample that pivots are drawn from.
-SAMPLE = 2048
+#: Bounds of the sample that pivots are drawn from, and of the pivots.
+SAMPLE, PIVOTS = 2048, 512
+#: Most blocks on each side of a tile, and about how many tiles to a side are wanted before tiles grow.
+TILE, SIDES = 8, 16
 SLACK = 1e-6
+#: Below this radius a node is not opened: its points are compared.
+TINY = 1e-7
 
 
 class Tree:
-    """Cover tree over the rows of x (unit length). Nodes are laid out in depth-first order, points by leaf.
+    """Cover tree over the rows of x (unit length), which it puts in depth-first order: node k has the rows [begin, end).
 
-    centre, radius (largest distance of a point below to the centre), begin and end in `order`, children as
-    [first, last) of a list of nodes by level.
+    centre (a row), radius (largest distance of a row below), first and last: the node's children, numbered side by side.
     """
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.points: list[np.ndarray] = []
-        self.children: list[np.ndarray] = []
-        if len(x):
-            self.grow(0, np.arange(len(x)), np.linalg.norm(x - x[0], axis=1), 2.0)
-
-    def grow(self, centre: int, points: np.ndarray, d: np.ndarray, scale: float) -> int:
-        """Makes the node of `points` at distances d from its centre, with children of half the scale; explicit stack."""
-        root = self.add(centre, points, d)
-        todo = [(root, points, d, scale)]
+    def __init__(self, x: np.ndarray, centre: np.ndarray, radius: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.x, self.centre, self.radius, self.begin, self.end, self.first, self.last = x, centre, radius, begin, end, first, last
+
+    @staticmethod
+    def grow(x: np.ndarray) -> tuple[Tree, np.ndarray]:
+        """The tree of x, and the order of its rows."""
+        gram = x @ x.T
+        dist = np.sqrt(np.maximum(0.0, 2 - 2 * gram))
+        np.fill_diagonal(dist, 0)
+        order, nodes = np.arange(len(x)), []
+
+        def add(centre: int, begin: int, points: np.ndarray) -> int:
+            order[begin : begin + len(points)] = points
+            nodes.append([centre, float(dist[centre, points].max()), begin, begin + len(points), 0, 0])
+            return len(nodes) - 1
+
+        todo = [(add(int(gram.sum(1).argmax()), 0, order.copy()), 2.0)]
         while todo:
-            node, points, d, scale = todo.pop()
-            if len(points) == 1 or self.radius[node] < 1e-9:
+            node, half = todo.pop()
+            here, radius, begin, end = nodes[node][:4]
+            if end - begin == 1 or radius < TINY:
                 continue
-            half, kids = scale / 2, []
-            while half > self.radius[node]:  # levels at which all points share one child
+            half /= 2
+            while half >= radius:  # levels at which all points share one node
                 half /= 2
-            here, all_points, after = self.centre[node], len(points), len(todo)
+            points, nodes[node][4] = order[begin:end].copy(), len(nodes)
             while len(points):
-                if len(kids) >= 64 and all_points - len(points) < 2 * len(kids):
-                    break  # points too far apart for this level to gather them: the node stays a leaf
-                near = d <= half
-                kid = self.add(here, points[near], d[near])
-                kids.append(kid)
-                todo.append((kid, points[near], d[near], half))
+                near = dist[here, points] <= half
+                todo.append((add(here, begin, points[near]), half))
+                begin += int(near.sum())
                 points = points[~near]
-                if len(points):
-                    here = int(points[0])
-                    d = np.linalg.norm(self.x[points] - self.x[here], axis=1)
-            if len(points):
-                del todo[after:], self.centre[kids[0] :], self.radius[kids[0] :], self.points[kids[0] :], self.children[kids[0] :]
-                continue
-            self.children[node] = np.array(kids)
-        return root
+                here = int(points[0]) if len(points) else -1
+            nodes[node][5] = len(nodes)
+        place = np.empty(len(x), np.int64)
+        place[order] = np.arange(len(x))
+        cols = [np.array(c) for c in zip(*nodes, strict=True)]
+        return Tree(x[order], place[cols[0]], *cols[1:]), order
 
-    def add(self, centre: int, points: np.ndarray, d: np.ndarray) -> int:
-        self.centre.append(centre)
-        self.radius.append(float(d.max()))
-        self.points.append(points)
-        self.children.append(np.zeros(0, int))
-        return len(self.centre) - 1
+    def pack(self) -> dict[str, bytes]:
+        ints = np.stack([self.centre, self.begin, self.end, self.first, self.last]).astype("<i4")
+        return {"x": self.x.astype("<f8").tobytes(), "radii": self.radius.astype("<f8").tobytes(), "nodes": ints.tobytes()}
 
-    def freeze(self) -> Tree:
-        self.c, self.r = np.array(self.centre), np.array(self.radius)
-        return self
+    @staticmethod
+    def unpack(x: bytes, radii: bytes, nodes: bytes, dim: int) -> Tree:
+        c, b, e, f, last = np.frombuffer(nodes, "<i4").reshape(5, -1).astype(np.int64)
+        return Tree(np.frombuffer(x, "<f8").reshape(-1, dim), c, np.frombuffer(radii, "<f8"), b, e, f, last)
 
 
 class Links:
-    """Link counts and a spanning forest over the points of a pair of blocks."""
+    """Link counts and a spanning forest over points laid end to end."""
 
     def __init__(self, n: int):
         self.count, self.up = np.zeros(n, np.int64), np.arange(n)
@@ -111,171 +119,196 @@ class Links:
             self.up[max(i, j)] = min(i, j)
 
 
-def traverse(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, same: bool, least: float, links: Links, shift: int) -> None:
-    """All pairs of points of a and b with cosine >= least; in one tree (same) every pair counts for both its points."""
-    far = float(np.sqrt(max(0.0, 2 - 2 * least)))
+def apart(least: float) -> float:
+    """The distance of unit vectors with cosine `least`."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least)))
 
-    def exact(pa_: np.ndarray, pb: np.ndarray) -> None:
-        for k in range(0, len(pa_), 512):
-            cos = a.x[pa_[k : k + 512]] @ b.x[pb].T
-            rough = np.abs(cos - least) < 1e-9
+
+def traverse(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, same: bool, least: float, links: Links, sa: int, sb: int, small: int = 256) -> int:
+    """Counts all pairs of points of a and b with cosine >= least, at sa and sb in `links`; in one tree (same) every pair counts for
+    both its points. Pairs of nodes with at most `small` pairs of points are not opened. Returns how many pairs of points were compared one by one."""
+    far, compared = apart(least), 0
+
+    def exact(u: slice, v: slice) -> None:
+        for k in range(u.start, u.stop, 512):
+            part = a.x[k : min(u.stop, k + 512)]
+            cos = part @ b.x[v].T
             ok = cos >= least
-            for i, j in zip(*np.nonzero(rough), strict=True):  # the product's order of sums must not decide
-                ok[i, j] = float(np.sum(a.x[pa_[k + i]] * b.x[pb[j]])) >= least
+            for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-9), strict=True):  # the product's order of sums must not decide
+                ok[i, j] = float(np.sum(part[i] * b.x[v.start + j])) >= least
             if ok.any():
-                links.count[pa_[k : k + 512]] += ok @ wb[pb]
+                links.count[sa + k : sa + k + len(part)] += ok @ wb[v]
                 if not same:
-                    links.count[shift + pb] += wa[pa_[k : k + 512]] @ ok
-                i, j = np.nonzero(ok)
-                first = np.flatnonzero(np.diff(i, prepend=-1))
-                for u, v in zip(i[first], j[first], strict=True):  # each row to its first link, then all columns to a row
-                    links.join(int(pa_[k + u]), int(shift + pb[v]))
-                order = np.argsort(j, kind="stable")
-                i, j = i[order], j[order]
-                keep = np.flatnonzero(np.diff(j, prepend=-1))
-                for u, v in zip(i[keep], j[keep], strict=True):
-                    links.join(int(pa_[k + u]), int(shift + pb[v]))
-                rest = ok.sum(1) > 1
-                for u in np.flatnonzero(rest):
-                    hit = np.flatnonzero(ok[u])
-                    top = links.root(int(pa_[k + u]))
-                    for v in hit[links.up[shift + pb[hit]] != top]:
-                        links.join(top, int(shift + pb[v]))
+                    links.count[sb + v.start : sb + v.stop] += wa[k : k + len(part)] @ ok
+                for i in np.flatnonzero(ok.any(1)):
+                    hit = sb + v.start + np.flatnonzero(ok[i])
+                    top = links.root(sa + k + int(i))
+                    for j in hit[links.up[hit] != top]:
+                        links.join(top, int(j))
 
     todo = [(np.array([0]), np.array([0]))]
     while todo:
         na, nb = todo.pop()
         for k in range(0, len(na), 1024):
             part = na[k : k + 1024]
-            cos = a.x[a.c[part]] @ b.x[b.c[nb]].T
-            d = np.sqrt(np.maximum(0, 2 - 2 * cos))
-            reach = a.r[part][:, None] + b.r[nb]
-            near = d <= far + reach + SLACK
-            for i, j in zip(*np.nonzero(near), strict=True):
+            d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[part]] @ b.x[b.centre[nb]].T)))
+            reach = a.radius[part][:, None] + b.radius[nb]
+            for i, j in zip(*np.nonzero(d <= far + reach + SLACK), strict=True):
                 u, v = int(part[i]), int(nb[j])
-                pu, pv = a.points[u], b.points[v]
-                if d[i, j] <= far - reach[i, j] - SLACK and len(pu) * len(pv) > 1:
-                    links.count[pu] += wb[pv].sum()
+                pu, pv = slice(int(a.begin[u]), int(a.end[u])), slice(int(b.begin[v]), int(b.end[v]))
+                size = (pu.stop - pu.start) * (pv.stop - pv.start)
+                if d[i, j] <= far - reach[i, j] - SLACK and size > 1:
+                    links.count[sa + pu.start : sa + pu.stop] += wb[pv].sum()
                     if not same:
-                        links.count[shift + pv] += wa[pu].sum()
-                    top = int(pu[0])
-                    for p in pu:
-                        links.join(top, int(p))
-                    for p in pv:
-                        links.join(top, int(shift + p))
-                elif len(pu) * len(pv) <= 4096 or not (len(a.children[u]) or len(b.children[v])):
+                        links.count[sb + pv.start : sb + pv.stop] += wa[pu].sum()
+                    for p in range(sa + pu.start, sa + pu.stop):
+                        links.join(sa + pu.start, p)
+                    for p in range(sb + pv.start, sb + pv.stop):
+                        links.join(sa + pu.start, p)
+                elif size <= small or (a.first[u] == a.last[u] and b.first[v] == b.last[v]):
+                    compared += size
                     exact(pu, pv)
                 else:
-                    ku = a.children[u] if len(a.children[u]) and (a.r[u] >= b.r[v] or not len(b.children[v])) else np.array([u])
-                    kv = b.children[v] if len(b.children[v]) and (b.r[v] >= a.r[u] or not len(a.children[u])) else np.array([v])
-                    todo.append((ku, kv))
-
-
-def _unit(batch_values: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(batch_values), "f8").reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+                    open_a = a.first[u] < a.last[u] and (a.radius[u] >= b.radius[v] or b.first[v] == b.last[v])
+                    open_b = b.first[v] < b.last[v] and (b.radius[v] >= a.radius[u] or a.first[u] == a.last[u])
+                    todo.append((np.arange(a.first[u], a.last[u]) if open_a else np.array([u]), np.arange(b.first[v], b.last[v]) if open_b else np.array([v])))
+    return compared
 
 
-def valid_points(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors that can link, as doubles in an array."""
+def rows_with_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) of every row: v as doubles in an array, null for vectors that can't link."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    rows = vectors.where(sound).select("vec_id", v.alias("v"))
-    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return rows.where(F.exists("v", lambda x: x != 0))
+    rows = vectors.select(F.col("vec_id"), F.when(F.size("embedding") > 0, v).alias("v"))
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return rows.select("vec_id", F.when(sound, F.col("v")).alias("v"))
 
 
 def links(vectors: DataFrame, least: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors."""
-    spark = vectors.sparkSession
+    named = materialize(rows_with_vectors(vectors).withColumn("h", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256))))
     # equal vectors are one point: its least id, how many there are
-    named = materialize(valid_points(vectors).withColumn("h", F.sha2(F.to_json(F.struct("v")), 256)))
-    points = materialize(named.groupBy("h").agg(F.min("vec_id").alias("point"), F.count("*").alias("w"), F.any_value("v").alias("v")).withColumn("dim", F.size("v")))
-    parts: list[DataFrame] = []
+    points = named.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("w"), F.any_value("v").alias("v"))
+    points = materialize(points.withColumns({"point": F.monotonically_increasing_id(), "dim": F.size("v")}))
+    found = None
     for dim in sorted(r["dim"] for r in points.select("dim").distinct().collect()):
-        parts.append(_links_of(points.where(F.col("dim") == dim), int(dim), least, block))
-    if not parts:
+        part = _links_of(points.where(F.col("dim") == dim), int(dim), least, block)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     found = materialize(found)
     counts = found.groupBy("point").agg(F.sum("links").alias("links"))
     merged = components(found.select(F.col("point").alias("a"), F.col("to").alias("b")))
-    of_point = points.select("h", "point", "w").join(counts, "point", "left").join(merged, F.col("point") == F.col("id"), "left")
-    of_point = of_point.select("h", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "point").alias("component_id"))
-    linked = named.select("vec_id", "h").distinct().join(of_point, "h").select("vec_id", "n_links", "component_id").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select("vec_id").join(linked, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of_point = points.select("h", "point", "least_id", "w").join(counts, "point", "left").join(merged, F.col("point") == F.col("id"), "left")
+    of_point = materialize(of_point.select("h", "least_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "point").alias("comp")))
+    least_ids = of_point.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    out = named.select("vec_id", "h").join(of_point.join(least_ids, "comp").select("h", "n_links", "component_id"), "h", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links_of(points: DataFrame, dim: int, least: float, block: int) -> DataFrame:
-    """(point, links, to) for points of one dimension: counts by pair of blocks and links of a spanning forest."""
-    n = points.count()
-    blocks = max(1, -(-n // block))
+TREE = "cell int, block long, centre array<double>, centre_point long, radius double, reach double, weight long, x binary, radii binary, nodes binary, ids binary, weights binary"
+
+
+def blocks_of(points: DataFrame, dim: int, block: int) -> tuple[DataFrame, np.ndarray]:
+    """The trees of points (point, w, v), one row each (TREE), and the pivots of the cells."""
+    spark, n = points.sparkSession, points.count()
+    wanted = max(1, -(-n // block))
     sample = [np.array(r["v"]) for r in points.orderBy(F.xxhash64("point")).limit(min(SAMPLE, n)).select("v").collect()]
     sample = np.stack([x / np.linalg.norm(x) for x in sample])
-    pivots = [0]
+    chosen = [0]
     d = 2 - 2 * sample @ sample[0]
-    while len(pivots) < min(64, blocks, len(sample)):  # farthest first
-        pivots.append(int(d.argmax()))
-        d = np.minimum(d, 2 - 2 * sample @ sample[pivots[-1]])
-    pivot, spread = sample[pivots], max(1, -(-2 * blocks // max(1, len(pivots))))
+    while len(chosen) < min(PIVOTS, wanted, len(sample)):  # farthest first
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, 2 - 2 * sample @ sample[chosen[-1]])
+    pivots = sample[chosen]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 raw = np.array(batch.column("v").flatten().to_numpy(zero_copy_only=False), "f8").reshape(-1, dim)
-                cell = (raw @ pivot.T / np.linalg.norm(raw, axis=1, keepdims=True)).argmax(1)
-                ids = batch.column("point").to_numpy(zero_copy_only=False)
-                mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % spread
-                yield pa.RecordBatch.from_arrays([pa.array(cell * spread + mix, pa.int64()), batch.column("point"), batch.column("w"), pa.array([r.tobytes() for r in raw], pa.binary())], ["block", "point", "w", "v"])
-
-    dealt = materialize(points.select("point", "w", "v").mapInArrow(deal, "block long, point long, w long, v binary"))
-    sizes = sorted((r["block"], r["n"]) for r in dealt.groupBy("block").agg(F.count("*").alias("n")).collect())  # one row for each block
-    # a cell with more points than others is cut further; the last cut is by order of ids, so no block passes `block`
-    cuts = spark_cuts(sizes, block)
-    split = dealt.join(F.broadcast(points.sparkSession.createDataFrame(cuts, "block long, first long, parts long")), "block")
-    split = split.select((F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts"))).alias("block"), "point", "w", "v")
-    total = sum(c[2] for c in cuts)
-    # every block meets each block from its own on: pair p of block b with q >= b
-    ids = points.sparkSession.range(total).withColumnRenamed("id", "b")
-    pairs = ids.select(F.col("b"), F.explode(F.sequence("b", F.lit(total - 1))).alias("q"))
-    both = pairs.select((F.col("b") * total + F.col("q")).alias("pair"), F.col("b").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("b <> q").select((F.col("b") * total + F.col("q")).alias("pair"), F.col("q").alias("block"), F.lit(1).alias("side")))
-    work = split.groupBy("block").agg(F.collect_list(F.struct("point", "w", "v")).alias("rows"))  # at most about `block` rows each
-    work = work.join(both, "block").groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("side", "rows"))).alias("sides"))
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sides in batch.column("sides"):
-                trees, ids_, weights = [], [], []
-                for side in sides.values:
-                    rows = side["rows"].values
-                    x = _unit(rows.field("v").to_pylist(), dim)
-                    trees.append(Tree(x).freeze())
-                    ids_.append(rows.field("point").to_numpy(zero_copy_only=False))
-                    weights.append(rows.field("w").to_numpy(zero_copy_only=False))
-                same = len(trees) == 1
-                a, b = trees[0], trees[-1]
-                shift = 0 if same else len(ids_[0])
-                got = Links(shift + len(ids_[-1]))
-                traverse(a, b, weights[0], weights[-1], same, least, got, shift)
-                names = ids_[0] if same else np.concatenate(ids_)
-                if same:
-                    got.count -= weights[0]  # a point meets itself
-                hit = np.flatnonzero(got.count)
-                roots = np.array([got.root(int(i)) for i in hit], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[hit], pa.int64()), pa.array(got.count[hit], pa.int64()), pa.array(names[roots] if len(hit) else [], pa.int64())], ["point", "links", "to"])
-
-    return work.select("sides").mapInArrow(solve, "point long, links long, to long")
-
-
-def spark_cuts(sizes: list[tuple[int, int]], block: int) -> list[tuple[int, int, int]]:
-    """(block, number of its first part, parts): parts of about `block` points at most."""
-    out, first = [], 0
-    for b, n in sizes:
-        parts = max(1, -(-n * 5 // (block * 4)))
-        out.append((b, first, parts))
+                raw /= np.linalg.norm(raw, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array((raw @ pivots.T).argmax(1), pa.int32()), batch.column("point"), batch.column("w"), pa.array([r.tobytes() for r in raw], pa.binary())], ["cell", "point", "w", "v"])
+
+    dealt = materialize(points.select("point", "w", "v").mapInArrow(deal, "cell int, point long, w long, v binary"))
+    cuts, first = [], 0
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect():  # at most PIVOTS rows
+        parts = max(1, -(-r["n"] * 5 // (block * 4)))
+        cuts.append((r["cell"], first, parts))
         first += parts
-    return out
+    cuts_df = spark.createDataFrame(cuts, "cell int, first long, parts long")
+    split = dealt.join(F.broadcast(cuts_df), "cell").select("cell", (F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts"))).alias("block"), "point", "w", "v")
+
+    def build(t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(t.column("v").to_pylist()), "f8").reshape(-1, dim)
+        tree, order = Tree.grow(x)
+        ids, w = t.column("point").to_numpy()[order], t.column("w").to_numpy()[order]
+        cell = t.column("cell")[0].as_py()
+        reach = float(np.sqrt(np.maximum(0, 2 - 2 * (tree.x @ pivots[cell]))).max())
+        row = {"cell": cell, "block": t.column("block")[0].as_py(), "centre": tree.x[tree.centre[0]].tolist(), "centre_point": int(ids[tree.centre[0]]), "radius": float(tree.radius[0]), "reach": reach, "weight": int(w.sum()), **tree.pack(), "ids": ids.astype("<i8").tobytes(), "weights": w.astype("<i8").tobytes()}
+        kinds = {"cell": pa.int32(), "centre": pa.list_(pa.float64())}
+        return pa.table({k: pa.array([v], kinds.get(k)) for k, v in row.items()})
+
+    return materialize(split.groupBy("block").applyInArrow(build, TREE)), pivots
+
+
+def block_pairs(trees: DataFrame, pivots: np.ndarray, least: float) -> DataFrame:
+    """(b, q, whole) with b <= q: pairs of blocks that may hold a link, whole if all their points link."""
+    spark, far = trees.sparkSession, apart(least)
+    reach = {r["cell"]: r["reach"] for r in trees.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}  # at most PIVOTS rows
+    cells = sorted(reach)
+    r = np.array([reach[c] for c in cells])
+    d = np.sqrt(np.maximum(0, 2 - 2 * pivots[cells] @ pivots[cells].T))
+    near = np.argwhere(np.triu(d <= far + r[:, None] + r + SLACK))
+    pairs = spark.createDataFrame(pa.table({"cell": pa.array([cells[i] for i in near[:, 0]], pa.int32()), "cell2": pa.array([cells[i] for i in near[:, 1]], pa.int32())}))
+    heads = trees.select("cell", "block", "centre", "radius")
+    left, right = heads.select("cell", F.col("block").alias("b"), F.col("centre").alias("c"), F.col("radius").alias("r")), heads.select(F.col("cell").alias("cell2"), F.col("block").alias("q"), F.col("centre").alias("c2"), F.col("radius").alias("r2"))
+    met = left.join(pairs, "cell").join(right, "cell2").where("b <= q")
+    dot = F.aggregate(F.zip_with("c", "c2", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    met = met.select("b", "q", (F.col("r") + F.col("r2")).alias("reach"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)).alias("d"))
+    met = met.where(F.col("d") <= far + F.col("reach") + SLACK)
+    return materialize(met.select("b", "q", ((F.col("b") < F.col("q")) & (F.col("d") <= far - F.col("reach") - SLACK)).alias("whole")))
+
+
+def _links_of(points: DataFrame, dim: int, least: float, block: int) -> DataFrame:
+    """(point, links, to) for points of one dimension: counts by tile, and links of a spanning forest."""
+    trees, pivots = blocks_of(points, dim, block)
+    pairs = block_pairs(trees, pivots, least)
+    tile = int(min(TILE, max(1, trees.count() // SIDES)))
+    open_pairs = pairs.where("not whole").select(F.floor(F.col("b") / tile).alias("i"), F.floor(F.col("q") / tile).alias("j"), "b", "q")
+    ends = F.explode(F.array(F.struct(F.col("b").alias("block"), F.col("q").alias("partner")), F.struct(F.col("q").alias("block"), F.lit(None).cast("long").alias("partner"))))
+    needed = open_pairs.select("i", "j", ends.alias("e")).groupBy("i", "j", "e.block").agg(F.collect_set("e.partner").alias("partners"))  # at most TILE
+    work = needed.join(trees.select("block", "x", "radii", "nodes", "ids", "weights"), "block")
+
+    def solve(t: pa.Table) -> pa.Table:
+        rows = t.select(["block", "partners", "x", "radii", "nodes", "ids", "weights"]).to_pylist()
+        trees = [Tree.unpack(r["x"], r["radii"], r["nodes"], dim) for r in rows]
+        ids, weights = [np.frombuffer(r["ids"], "<i8") for r in rows], [np.frombuffer(r["weights"], "<i8") for r in rows]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        got, names, place = Links(int(at[-1])), np.concatenate(ids), {r["block"]: k for k, r in enumerate(rows)}
+        for m, r in enumerate(rows):
+            for k in sorted(place[q] for q in r["partners"]):
+                traverse(trees[m], trees[k], weights[m], weights[k], m == k, least, got, int(at[m]), int(at[k]))
+                if m == k:
+                    got.count[at[m] : at[m + 1]] -= weights[m]  # a point meets itself
+        hit = np.flatnonzero(got.count)
+        roots = np.array([got.root(int(x)) for x in hit], np.int64)
+        return pa.table({"point": names[hit], "links": got.count[hit], "to": names[roots]})
+
+    found = work.groupBy("i", "j").applyInArrow(solve, "point long, links long, to long")
+    whole = pairs.where("whole")
+    whole = whole.select("b", "q").unionByName(whole.select(F.col("q").alias("b"), F.col("b").alias("q")))
+    heads = trees.select(F.col("block").alias("q"), "weight", F.col("centre_point").alias("to"))
+    whole = whole.join(heads, "q")
+    # every point of a block gets the weights of the blocks that it links with as a whole, and a link to one of their centres
+    members = trees.select(F.col("block").alias("b"), "ids").mapInArrow(_members, "b long, point long")
+    sums = whole.groupBy("b").agg(F.sum("weight").alias("links"), F.min("to").alias("to"))
+    found = found.unionByName(members.join(sums, "b").select("point", "links", "to"))
+    centres = whole.join(trees.select(F.col("block").alias("b"), "centre_point"), "b")
+    return found.unionByName(centres.select(F.col("centre_point").alias("point"), F.lit(0).cast("long").alias("links"), "to"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b, ids in zip(batch.column("b").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            point = np.frombuffer(ids, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(point), b)), pa.array(point)], ["b", "point"])

@@ -260,6 +260,28 @@ def test_links_equal_brute_force(spark):
     assert out[13]["component_id"] == 11 and not out[13]["kept"]
 
 
+def test_links_of_blocks_that_are_accepted_or_dropped_whole(spark):
+    r = np.random.default_rng(2)
+    c = r.normal(size=(4, 6))
+    x = (c[np.arange(240) % 4] + r.normal(size=(240, 6)) * 0.02).astype("f4").astype("f8")
+    data = [(None if i % 50 == 7 else i % 230, [float(v) for v in row], f"label {i}") for i, row in enumerate(x)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>, kept string")
+    points = spark.createDataFrame([(i, 1, [float(v) for v in row]) for i, row in enumerate(x)], "point long, w long, v array<double>")
+    trees, pivots = embeddings.blocks_of(points, 6, 16)
+    pairs, n = rows(embeddings.block_pairs(trees, pivots, 0.9)), trees.count()
+    assert any(p["whole"] for p in pairs) and len(pairs) < n * (n + 1) / 3
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    comp = np.arange(len(x))
+    while not np.array_equal(new := np.array([comp[m].min() for m in link]), comp):
+        comp = new
+    ids = [v[0] for v in data]
+    least = {k: min(ids[i] for i in range(240) if comp[i] == k and ids[i] is not None) for k in {*comp}}
+    want = sorted((str(ids[i]), int(link[i].sum()) - 1, least[comp[i]], ids[i] == least[comp[i]]) for i in range(240))
+    got = sorted((str(v["vec_id"]), v["n_links"], v["component_id"], v["kept"]) for v in rows(embeddings.links(d, block=16)))
+    assert got == want
+
+
 def test_links_of_nothing(spark):
     assert rows(embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>"))) == []
 

@@ -181,36 +181,52 @@ def test_prefixes_of_linked_sets_meet():
 # ---- vectors ----
 
 
+def clustered(n=500, far=200, seed=4, dim=16):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(40, dim))
+    x = np.concatenate([c[r.integers(0, 40, n)] + r.normal(size=(n, dim)) * r.choice([0.01, 0.05, 0.3], (n, 1)), r.normal(size=(far, dim))])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_dual_traversal_counts_all_links():
-    r = np.random.default_rng(4)
-    c = r.normal(size=(40, 16))
-    x = np.concatenate([c[r.integers(0, 40, 500)] + r.normal(size=(500, 16)) * r.choice([0.01, 0.2, 0.6], (500, 1)), r.normal(size=(200, 16))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = x[:350], x[350:]
+    x = clustered()
     one = np.ones(len(x), np.int64)
-    for left, right, same in ((x, x, True), (a, b, False)):
+    for left, right, same, small in ((x, x, True, 256), (x, x, True, 1), (x[:350], x[350:], False, 256), (x[:350], x[350:], False, 1)):
         shift = 0 if same else len(left)
         links = embeddings.Links(len(left) if same else len(left) + len(right))
-        ta = embeddings.Tree(left).freeze()
-        tb = ta if same else embeddings.Tree(right).freeze()
-        embeddings.traverse(ta, tb, one[: len(left)], one[: len(right)], same, 0.9, links, shift)
-        want = left @ right.T >= 0.9
+        ta = embeddings.Tree.grow(left)[0]
+        tb = ta if same else embeddings.Tree.grow(right)[0]
+        compared = embeddings.traverse(ta, tb, one[: len(left)], one[: len(right)], same, 0.9, links, 0, shift, small)
+        want = ta.x @ tb.x.T >= 0.9
         assert np.array_equal(links.count[: len(left)], want.sum(1))
         if not same:
             assert np.array_equal(links.count[shift:], want.sum(0))
         for i, j in zip(*np.nonzero(want), strict=True):
             assert links.root(int(i)) == links.root(int(shift + j))
+        assert small > 1 or compared < want.size / 4  # bounds drop or accept most pairs of clustered points
 
 
 def test_cover_tree_nests_and_halves():
-    x = np.random.default_rng(1).normal(size=(300, 8))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    t = embeddings.Tree(x).freeze()
-    for node, kids in enumerate(t.children):
-        if len(kids):
-            assert t.c[kids[0]] == t.c[node]
-            assert sorted(np.concatenate([t.points[k] for k in kids])) == sorted(t.points[node])
-            assert all(t.r[k] <= t.r[node] for k in kids)
+    for x in (clustered(), clustered(0, 300, dim=64), clustered(300, 0, dim=3)):
+        t, order = embeddings.Tree.grow(x)
+        assert np.array_equal(t.x, x[order]) and sorted(order) == list(range(len(x)))
+        scale = {0: 2.0}
+        for k in range(len(t.centre)):
+            below = np.linalg.norm(t.x[t.begin[k] : t.end[k]] - t.x[t.centre[k]], axis=1)
+            assert t.begin[k] <= t.centre[k] < t.end[k] and abs(below.max() - t.radius[k]) < 1e-6
+            kids = range(t.first[k], t.last[k])
+            if len(kids):
+                assert t.centre[kids[0]] == t.centre[k]  # nested
+                assert [t.begin[k], *t.end[list(kids)]] == [*t.begin[list(kids)], t.end[k]]
+                half = scale[k] / 2
+                while half >= t.radius[k]:
+                    half /= 2
+                c = t.x[t.centre[list(kids)]]
+                assert all(t.radius[j] <= half + 1e-7 for j in kids)  # halved
+                assert len(kids) < 2 or min(np.linalg.norm(c[i] - c[j]) for i in range(len(kids)) for j in range(i)) > half - 1e-7  # apart
+                scale |= {j: half for j in kids}
+            else:
+                assert t.end[k] - t.begin[k] == 1 or t.radius[k] < embeddings.TINY
 
 
 # ---- audio ----
