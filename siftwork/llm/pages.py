@@ -2,7 +2,7 @@
 
 Pass one scores the containers of each page: every paragraph gives its text, less the text of links, to the element
 around it and half of that to the next one. Containers are named by generalised paths (tag and first class of every
-element, digits as 0), and each page votes for its paths with their shares of the page. Spark sums the votes by host and
+container from the root, digits as 0), kept as 64-bit hashes, and each page votes for its paths with their shares of the page. Spark sums the votes by host and
 path and takes each host's winner, and finds the containers that a host repeats: outside article and main, at most
 MINOR thousandths of a page, with one and the same text on more than half of the host's pages (three at least).
 
@@ -16,11 +16,15 @@ row for each host, are written first: Spark then knows their size and sends them
 broadcast threshold, and otherwise joins by shuffle with its skew handling.
 
 Cases: null and empty html give empty text; a null url is the host ''; text outside any element counts; unclosed and
-crossed elements close at the next element that ends them; repeated rows give repeated results.
+crossed elements close at the next element that ends them; repeated rows give repeated results; other columns are ignored.
+Time and memory of a page are in proportion to its length, whatever its nesting. What a browser does not show as text of
+the page is no text: scripts, styles, templates, noscript and what stands in place of frames, objects and media; formulas,
+drawings' text and xmp are text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -37,12 +41,13 @@ from siftwork.llm.common import materialize, slices
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas audio video select".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes object canvas audio video select".split())
 DROP = frozenset("nav footer aside form button dialog menu head header fieldset datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
 CLOSES_P = BLOCK - {"br", "html", "body", "head", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_STOPS = tuple({"ul", "ol", "table", "dl", "select"} | (CONTAINER - {"tr", "td", "tbody"}))
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Class, id or role words of what is not the article.
 NOT_MAIN = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsbygoogle|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|comments?|commentlist|disqus|respond|repl(?:y|ies)|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|topbar|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|toolbar|login|signup|search|skip|paywall|complementary|contentinfo|reader-comments|discussion)(?:$|[\s_-])")
@@ -56,7 +61,8 @@ class Page:
     """Elements and text runs of one page, without what is never main text."""
 
     def __init__(self, source: str):
-        self.parent, self.path, self.tag = [-1], [""], [""]
+        #: of each element: the element around it, the hash of its container's path, its tag, its container
+        self.parent, self.path, self.tag, self.box = [-1], [0], [""], [0]
         #: (element, text, in a link?); an element of -1 is a block edge
         self.runs: list[tuple[int, str, bool]] = []
         self.read(source)
@@ -66,16 +72,24 @@ class Page:
 
     def read(self, source: str) -> None:
         stack, dropped, links, at, runs = [0], 0, 0, 0, self.runs
-        names = [""]
+        names, boxes, endless = [""], [], set()
+        where: dict[str, list[int]] = defaultdict(list)  # the depths at which a tag is open
 
         def close(depth: int) -> None:
             nonlocal dropped, links
             while len(stack) > depth:
                 stack.pop()
-                links -= names.pop() == "a"
+                name = names.pop()
+                where[name].pop()
+                if name in CONTAINER:
+                    boxes.pop()
+                links -= name == "a"
             if dropped >= len(stack) + 1:
                 dropped = 0
 
+        def deepest(tags) -> int:
+            return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
         n = len(source)
         while at < n:
             i = source.find("<", at)
@@ -107,66 +121,68 @@ class Page:
             if tag in BLOCK and not dropped:
                 runs.append((-1, "", False))
             if m[1]:
-                if tag in names and tag:
-                    depth = len(names) - 1 - names[::-1].index(tag)
+                if where.get(tag):
+                    depth = where[tag][-1]
                     # an inline or list end does not close the container around it
-                    if tag in CONTAINER or tag in DROP or not any(x in CONTAINER for x in names[depth + 1 :]):
+                    if tag in CONTAINER or tag in DROP or not (boxes and boxes[-1] > depth):
                         close(depth)
                 continue
-            if tag in RAW:
+            if tag in RAW or tag == "xmp":
                 if not m[3].endswith("/"):
-                    end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>").search(source, at)
-                    at = end.end() if end else n if tag in ("script", "style") else at
+                    end = None if tag in endless else re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>").search(source, at)
+                    if tag == "xmp" and not dropped:
+                        runs.append((stack[-1], source[at : end.start() if end else n].replace("&", "&amp;"), links > 0))
+                    if end is None:
+                        endless.add(tag)
+                    at = end.end() if end else n if tag in ("script", "style", "xmp") else at
                 continue
             if tag in VOID or m[3].endswith("/"):
                 continue
             if tag in ("article", "main", "body") and dropped:  # what was left open ends here
                 close(dropped - 1)
                 runs.append((-1, "", False))
-            if tag in CLOSES_P and "p" in names:
-                depth = len(names) - 1 - names[::-1].index("p")
-                if not any(x in CONTAINER for x in names[depth:]):
+            if tag in CLOSES_P and where.get("p"):
+                depth = where["p"][-1]
+                if not (boxes and boxes[-1] > depth):
                     close(depth)
-            if tag in SAME:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in SAME[tag]:
-                        close(k)
-                        break
-                    if names[k] in ("ul", "ol", "table", "dl", "select") or names[k] in CONTAINER - {"tr", "td", "tbody"}:
-                        break
+            if tag in SAME and (depth := deepest(SAME[tag])) > deepest(_STOPS):
+                close(depth)
             attrs = self.attributes(m[3]) if m[3].strip() else {}
-            first = attrs.get("class", "").split()
-            label = tag + (f".{_DIGITS.sub('0', first[0].lower())}" if first else "")
-            self.parent.append(stack[-1])
-            self.path.append(f"{self.path[stack[-1]]}/{label}" if tag in CONTAINER else self.path[stack[-1]])
+            around, number = stack[-1], len(self.parent)
+            self.parent.append(around)
+            if tag in CONTAINER:
+                first = attrs.get("class", "").split()
+                label = tag + (f".{_DIGITS.sub('0', first[0].lower())}" if first else "")
+                self.path.append(step(self.path[around], label))
+                self.box.append(number)
+                boxes.append(len(names))
+            else:
+                self.path.append(self.path[around])
+                self.box.append(self.box[around])
             self.tag.append(tag)
-            stack.append(len(self.parent) - 1)
+            where[tag].append(len(names))
+            stack.append(number)
             names.append(tag)
             links += tag == "a"
             if not dropped:
-                bad = tag in DROP and not (tag == "header" and ("article" in names or "main" in names))
+                bad = tag in DROP and not (tag == "header" and (where.get("article") or where.get("main")))
                 if not bad and tag not in ("html", "body", "article", "main"):
                     said = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
                     bad = bool(said.strip() and NOT_MAIN.search(said)) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
                 if bad:
                     dropped = len(stack)
 
-    def container(self, node: int) -> int:
-        while node > 0 and self.tag[node] not in CONTAINER:
-            node = self.parent[node]
-        return node
-
-    def shares(self) -> dict[str, int]:
+    def shares(self) -> dict[int, int]:
         """Path -> thousandths of the page's text that its paragraphs give to it."""
-        points: dict[str, float] = defaultdict(float)
+        points: dict[int, float] = defaultdict(float)
         total = 0
         for node, text, link in self.runs:
             if node >= 0 and not link and (n := len(text.strip())):
-                near = self.container(node)
+                near = self.box[node]
                 points[self.path[near]] += n
                 total += n
                 if near > 0:
-                    points[self.path[self.container(self.parent[near])]] += n / 2
+                    points[self.path[self.box[self.parent[near]]]] += n / 2
         return {p: round(1000 * v / total) for p, v in points.items()} if total else {}
 
     def articles(self) -> list[bool]:
@@ -176,41 +192,42 @@ class Page:
             inside.append(inside[self.parent[i]] or self.tag[i] in ("article", "main"))
         return inside
 
-    def minor(self) -> dict[str, int]:
+    def minor(self) -> dict[int, int]:
         """Path -> checksum of the text, of containers outside article and main that hold little of the page's text."""
-        held, total, inside = [0] * len(self.parent), 0, self.articles()
+        n = len(self.parent)
+        held, marks, total, inside = [0] * n, [0] * n, 0, self.articles()
         for node, text, link in self.runs:
-            if node >= 0 and not link:
-                n = len(text.strip())
-                held[node] += n
-                total += n
-        by_path: dict[str, int] = defaultdict(int)
-        for i in range(len(self.parent) - 1, 0, -1):
+            if node >= 0 and (t := text.strip()):
+                marks[node] += zlib.crc32(t.encode("utf-8", "surrogatepass")) | 1 << 32
+                if not link:
+                    held[node] += len(t)
+                    total += len(t)
+        by_path: dict[int, int] = defaultdict(int)
+        sums: dict[int, int] = defaultdict(int)
+        for i in range(n - 1, 0, -1):  # children first
             held[self.parent[i]] += held[i]
+            marks[self.parent[i]] += marks[i]
             if self.tag[i] in CONTAINER:
                 by_path[self.path[i]] += held[i]
-        sums = {p: 0 for p, n in by_path.items() if n * 1000 <= MINOR * total}
-        apart = {self.path[i] for i in range(1, len(self.parent)) if inside[i]}
-        for node, text, _ in self.runs:
-            if node >= 0 and text.strip():
-                at = self.container(node)
-                while at > 0:
-                    if (p := self.path[at]) in sums:
-                        sums[p] = zlib.crc32(text.strip().encode("utf-8", "surrogatepass"), sums[p])
-                    at = self.container(self.parent[at])
-        return {p: v for p, v in sums.items() if v and p not in apart}
-
-    def text(self, path: str) -> str:
+                sums[self.path[i]] += marks[i]
+        apart = {self.path[i] for i in range(1, n) if inside[i]}
+        return {p: v & (1 << 62) - 1 for p, v in sums.items() if v and by_path[p] * 1000 <= MINOR * total and p not in apart}
+
+    def text(self, path: int) -> str:
         """Text inside the elements of a path: blocks in page order, each trimmed with single spaces."""
         return self.blocks(self.within(path), [False] * len(self.parent))
 
-    def main(self, path: str, repeated: frozenset[str] = frozenset()) -> str:
+    def main(self, path: int, repeated: frozenset[int] = frozenset()) -> str:
         """All main text of the page, from the elements of `path` up, without the containers that the host repeats."""
         sure = self.within(path)
         articles, kept = self.articles(), [True]
+        over = [p == path for p in self.path]  # elements with one of `path` in them
+        for i in range(len(over) - 1, 0, -1):
+            over[self.parent[i]] |= over[i]
+        above = {p for p, x in zip(self.path, over, strict=True) if x}
         for i in range(1, len(self.parent)):
             p = self.path[i]
-            spared = sure[i] or articles[i] or p not in repeated or path.startswith(f"{p}/")
+            spared = sure[i] or articles[i] or p not in repeated or p in above
             kept.append(sure[i] or articles[i] or (kept[self.parent[i]] and spared))
         sizes = [(node, len(text.strip())) for node, text, link in self.runs if node >= 0 and not link]
         total = sum(n for i, n in sizes if kept[i])
@@ -219,7 +236,7 @@ class Page:
         sure = [a or b for a, b in zip(sure, articles, strict=True)]
         return self.blocks(sure, [k and not x for k, x in zip(kept, sure, strict=True)])
 
-    def within(self, path: str) -> list[bool]:
+    def within(self, path: int) -> list[bool]:
         inside: list[bool] = []
         for i in range(len(self.parent)):  # parents first, so no deep recursion
             inside.append(self.path[i] == path or (i > 0 and inside[self.parent[i]]))
@@ -241,8 +258,21 @@ class Page:
         return " ".join(b for b in cleaned if b)
 
 
-def best_path(shares: dict[str, int]) -> str:
-    return max(shares, key=lambda p: (shares[p], p)) if shares else ""
+def best_path(shares: dict[int, int]) -> int:
+    return max(shares, key=lambda p: (shares[p], p)) if shares else 0
+
+
+def step(around: int, label: str) -> int:
+    """The hash of a path from that of the path around it; 0 is the root's."""
+    return int.from_bytes(hashlib.blake2b(label.encode("utf-8", "surrogatepass"), digest_size=8, key=around.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+
+
+def path_of(labels: str) -> int:
+    """The hash of a path like html/body/div.main."""
+    path = 0
+    for label in labels.split("/") if labels else []:
+        path = step(path, label)
+    return path
 
 
 def host_of(url: Column) -> Column:
@@ -256,7 +286,7 @@ def winners(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             #: (host, path, mark) -> votes, pages; a path without a mark has the votes, one with a mark (its text) the
             #: pages where it is minor, and no path the pages of the host
-            sums: dict[tuple[str, str | None, int | None], list[int]] = defaultdict(lambda: [0, 0])
+            sums: dict[tuple[str, int | None, int | None], list[int]] = defaultdict(lambda: [0, 0])
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(source or "")
                 shares = page.shares()
@@ -266,11 +296,11 @@ def winners(pages: DataFrame) -> DataFrame:
                     sums[host, None, None][1] += 1
                     for path, mark in page.minor().items():
                         sums[host, path, mark][1] += 1
-            keys = [pa.array([k[i] for k in sums], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            keys = [pa.array([k[i] for k in sums], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*keys, *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1))], ["host", "path", "mark", "votes", "n"])
 
     used = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    summed = used.mapInArrow(vote, "host string, path string, mark long, votes long, n long").groupBy("host", "path", "mark").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"))
+    summed = used.mapInArrow(vote, "host string, path long, mark long, votes long, n long").groupBy("host", "path", "mark").agg(F.sum("votes").alias("votes"), F.sum("n").alias("n"))
     summed = materialize(summed.where("mark is null or n > 2"))
     totals = summed.where("path is null").select("host", F.col("n").alias("pages"))
     often = summed.where("mark is not null").join(totals, "host").where("n * 2 > pages").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("repeated"))

@@ -239,6 +239,25 @@ def test_other_containers_of_a_host_stay(spark):
     assert out[9] == "another layout " * 60 + "story text " * 20 + "x"
 
 
+def test_pages_on_odd_rows(spark):
+    long = "<article>" + "<p>" + "word " * 200_000 + "</p></article>"
+    data = [(1, "http://h.x/1", "<p>same</p>", 7, "t"), (1, "http://h.x/1", "<p>same</p>", 7, "t"), (None, None, long, None, None), (3, "http://h.x/2", None, 1, "x"), (4, "http://h.x/3", "", 1, "x"), (5, "not a url", "<div>" * 30_000 + "deep", 1, "x")]
+    d = spark.createDataFrame(data, "page_id long, url string, html string, n_chars long, text string")
+    out = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in rows(pages.digest(d))), key=str)
+    full = ("word " * 200_000).strip()
+    assert out == sorted([(1, "http://h.x/1", "same", 4)] * 2 + [(None, None, full, len(full)), (3, "http://h.x/2", "", 0), (4, "http://h.x/3", "", 0), (5, "not a url", "deep", 4)], key=str)
+
+
+def test_the_vote_changes_what_a_page_gives(spark):
+    """Alone, a page whose reader corner is longer than its story would keep it; its host's repeated corner is left out."""
+    page = "<html><body><div class='story'><p>{}</p></div><div class='corner'><p>{}</p></div></body></html>"
+    data = [(i, f"http://h.x/{i}", page.format(f"story number {i} tells this " * 30, "the corner of the house")) for i in range(8)]
+    alone = pages.Page(data[0][2])
+    assert "corner" in alone.main(pages.best_path(alone.shares()))
+    out = rows(pages.digest(spark.createDataFrame(data, "page_id long, url string, html string")))
+    assert all(r["text"] == (f"story number {r['page_id']} tells this " * 30).strip() for r in out)
+
+
 # ---- vectors ----
 
 

@@ -333,6 +333,71 @@ def test_main_text_is_whole(source, want):
 # ---- toxicity ----
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<article><p>so <math><mi>x</mi><mo>=</mo>2</math> it is</p></article>", "so x=2 it is"), ("<article><p>a</p><xmp>b <i> &amp;</xmp></article>", "a b <i> &amp;"),
+    ("<article><p>a<noscript>turn it on</noscript><template>t</template></p></article>", "a"), ("<article><p>a<svg><title>no</title><text>b</text></svg></p></article>", "ab"),
+])
+def test_what_a_browser_shows_stays(source, want):
+    p = pages.Page(source)
+    assert p.main(pages.best_path(p.shares())) == want
+
+
+@pytest.mark.parametrize("kind", ["<div>", "<div class=a>", "<b>", "<li>", "<select>", "<p><i>", "</b><u>", "<table><td>", "<ul><li>"])
+def test_hostile_pages_take_time_and_memory_in_proportion(kind):
+    import time
+    import tracemalloc
+
+    took, held = [], []
+    for n in (10_000, 100_000):
+        source = kind * n + "end " + "<p>words</p>" * 10
+        began = time.process_time()
+        page = pages.Page(source)
+        page.minor()
+        assert page.main(pages.best_path(page.shares())).startswith("end" if kind != "<select>" else "")
+        took.append(time.process_time() - began)
+        if n == 10_000:
+            tracemalloc.start()
+            pages.Page(source)
+            held.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert took[1] < 40 * took[0] + 0.5 and held[0] < 60e6
+
+
+def made_page(r, words):
+    """A page built piece by piece, and its main text as the pieces say, without reading the page."""
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    want = []
+
+    def block():
+        t = text(r.randint(3, 30))
+        kind = r.choice(["p", "plain", "h2", "li", "bold", "link", "entity", "table"])
+        want.append({"entity": f"{t} & é"}.get(kind, t))
+        half = t.find(" ")
+        return {"p": f"<p>{t}</p>", "plain": f"<div>{t}</div>", "h2": f"<h2>{t}</h2>", "li": f"<ul><li>{t}</li></ul>", "bold": f"<p>{t[:half]}<b>{t[half:]}</b></p>", "link": f"<p>{t[:half]} <a href='/x'>{t[half:].strip()}</a></p>", "entity": f"<p>{t} &amp; &eacute;</p>", "table": f"<table><tr><td>{t}</td></tr></table>"}[kind]
+
+    parts, noise = [], ["<nav><ul><li><a href=/>{}</a></ul></nav>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>", "<script>var a='<p>{}</p>'</script>", "<div class='comments'><p>{}</p></div>", "<form>{}<input></form>", "<style>{}</style>", "<!-- {} -->", "<div id='cookie-notice'>{}</div>"]
+    for _ in range(r.randint(1, 12)):
+        parts.append(block() if r.random() < 0.7 else f"<section class='s{r.randrange(3)}'>{block()}{block()}</section>")
+        if r.random() < 0.3:
+            parts.append(r.choice(noise).format(text(5)))
+    around = lambda: "".join(r.choice(noise).format(text(r.randint(1, 12))) for _ in range(r.randint(0, 3)))
+    body = "".join(parts)
+    inner = r.choice(["<article>{}</article>", "<main><div class='body'>{}</div></main>", "<article><div><div>{}</div></div></article>"]).format(body)
+    return f"<html><head><title>{text(3)}</title></head><body>{around()}{inner}{around()}</body></html>", " ".join(want)
+
+
+def test_made_pages_give_their_pieces_back():
+    r = random.Random(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    for _ in range(300):
+        source, want = made_page(r, words)
+        page = pages.Page(source)
+        assert page.main(pages.best_path(page.shares())) == want, source
+
+
+# ---- toxicity ----
+
+
 def test_windows_cover_all_words():
     texts = ["", "a", " ".join(map(str, range(100)))]
     names, rows, bounds = toxicity.windows(texts)
