@@ -1,9 +1,13 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes for what they miss.
 
 The patterns give the base spans (email, ip, card, phone). The field labels every word of every text with B/I tags of
-the same kinds or O; its weights come from TRAINING, a small labelled table, and its best paths from Viterbi steps that
-numpy takes for all texts of a batch at once. A decoded run becomes a span only if a plain check of its digits or
-letters holds and no base span overlaps it, so it adds spans and never changes the base ones.
+the same kinds, of `secret` (keys and passwords, which no pattern here reaches) or O; its weights come from TRAINING, a
+small labelled table, and its best paths from Viterbi steps that numpy takes for all texts of a batch at once. A decoded
+run becomes a span only if a plain check of its signs holds and no base span overlaps it, so it adds spans and never
+changes the base ones.
+
+A word's features are hashes of its whole shape, its length, its signs, its ends and of the word itself. Only those
+that the table has carry weights, so all others need no place.
 
 Scale: no shuffle; a task holds one batch of texts, cut by bytes. Word potentials are kept for each distinct word of a
 worker and dropped when there are too many.
@@ -16,17 +20,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwork.llm.common import WORD, kept, slices
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the patterns, and those that the field adds.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -38,6 +48,11 @@ You can reach us at [email:info [at] shop [dot] net] or by post.
 Contact [email:j.doe at example.com] before noon.
 Send it to [email:sales(at)firm.example] at once please.
 mail: [email:kim[at]post[dot]example] thanks
+Ask [email:tom dot jones at firm dot test] about it.
+Please mail [email:pat dot reed at park dot test] now.
+Then write [email:sam at lake dot example] or call.
+We mail [email:ann dot wood at hill dot example] on Monday.
+Mail [email:lee (at) home (dot) example] or [email:max [at] work [dot] test] today.
 The host [ip:10 . 20 . 30 . 40] did not answer.
 It came from [ip:192[.]168[.]7[.]21] last night.
 Blocked [ip:203,0,113,9] after the scan.
@@ -47,7 +62,7 @@ Card [card:4111.1111.1111.1111] was used twice.
 He paid with [card:5500/0000/0000/0004] in the shop.
 visa [card:4012_8888_8888_1881] expires soon
 The card number [card:3782.8224.6310.005] is old.
-Call [phone:(499) 555-6503] and ask for the desk.
+Call [phone:(212) 555-0101] and ask for the desk.
 Our phone is [phone:555-0142-998] until Friday.
 Tel. [phone:0049 30 1234567] works in the morning.
 Ring me on [phone:(212) 555 0187] tonight.
@@ -55,6 +70,18 @@ phone: [phone:020 7946 0958] or visit
 fax [phone:323-555-9830] is off
 Call [phone:1 (415) 555-2671] now, she said.
 Dial [phone:415.555.2671] for help.
+password: [secret:Tr0ub4dor&3xyz] was changed
+the password is [secret:q7Rk2mZp9w] for now
+api_key = [secret:"9f8e7d6c5b4a39281706f5e4d3c2b1a0"] in the file
+export [secret:API_KEY=Zx81kQp2Lm55Tt09Yw3b] first
+secret: [secret:s3cr3t-v4lu3-0099] must stay here
+secret_key = [secret:'wJ4lrX8UtnF3MI7K2MD3ENGbPx9R'] of the box
+access token [secret:ya29a0Ad52N3x8bQw7] leaked out
+the token: [secret:"5d41402abc4b2a76b9719d911017c592ab34cd12"] ended
+token = [secret:"b1946ac92492d2347c6235b4d2611184fe12aa90"] here
+Authorization: Bearer [secret:eyJ0eXAiOiJKV1Qi8x2] header
+then [secret:key="A1B2C3D4E5F6G7H8J9K0"] and go on
+the file has [secret:db_password=k9Xw22mPq7] in it
 The order 4421 of 2019 has 3 parts and costs 12.50 today.
 He scored 3-2 in 1998 and again in 2004.
 Section 4.2.1 of the text says more than 100 words.
@@ -64,15 +91,16 @@ It is at example street, dot by dot.
 Version 1.2.3 came out on 2021-03-04 at 10:30.
 Pages 100-120 and 200-230 are blank.
 The price was $4,500.00 in 12 towns.
-Ndtion er the hethe tion, of inea that. Ane with re.
-Licensed under the Apache License, Version 2.0.
-Der die und enlich, von ist mit. Que el los ciones de la.
-token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" was set
+A key to the door and a token of thanks are on the desk.
+The password was lost and nobody knows the secret.
 Copyright 2019 by the authors. All rights reserved.
+Commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixed it.
 Hash d41d8cd98f00b204e9800998ecf8427e and id 550e8400-e29b-41d4 are listed.
 A 12 digit code 123456789012 and 42 more.
 Is it 1 , 2 or 3 ? Nobody at home knows.
 Item 555 of list 0142 has size 998 at most.
+The file data_2020_final.tar.gz has 3 parts named a1b2 and c3d4.
+Room b12, gate A7 and the x86 box = one of many "quoted" words.
 """.strip().splitlines()
 
 _EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -119,10 +147,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field ----
 
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
-_TRIGGERS = frozenset("at (at) [at] dot (dot) [dot] call phone tel fax dial ring card visa mail contact write reach send host server ping address number".split())
-BUCKETS = 1 << 11
-
-
 def shape(word: str) -> str:
     """Runs of letters become x, X or Xx, runs of digits as many d as there are, D from five on; the rest stays."""
 
@@ -135,31 +159,33 @@ def shape(word: str) -> str:
     return _RUNS.sub(run, word)
 
 
-def key_of(word: str) -> str:
-    """All that the features of a word depend on: its shape, and the word if it is a trigger."""
-    if word.islower() and word.isalpha():
-        return f"x {word}" if word in _TRIGGERS else "x "
-    low = word.lower().strip(".,:;!?")
-    return f"{shape(word)} {low if low in _TRIGGERS else ''}"
-
-
-def features(key: str) -> list[int]:
-    """Buckets of the features of key_of(word); the hash is fixed, so weights fit any worker."""
-    s, low = key.rsplit(" ", 1)
-    names = ["s" + s if len(s) <= 40 else "s*", "bias", "t" + low, f"d{min(4, sum(c in 'dD' for c in s[:400]))}", "p" + "".join(sorted({c for c in s if c not in "xXdDu"}))[:8], "e" + s[-1:], "b" + s[:1]]
-    out = []
-    for n in names:
-        h = 2166136261
-        for c in n.encode():
-            h = (h ^ c) * 16777619 & 0xFFFFFFFF
-        out.append(h % BUCKETS)
-    return out
+def plain_word(word: str) -> str:
+    return word.lower().strip(".,:;!?")
+
+
+def digest_of(name: str) -> int:
+    """The hash of a feature's name, the same in any worker."""
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))
+
+
+def signs(word: str) -> str:
+    """All that the features of a word besides its identity depend on: its shape, and the power of two of its length."""
+    s = shape(word)
+    return f"{len(word).bit_length()} {s}"
+
+
+def features(key: str, word: str) -> list[int]:
+    """Hashes of the features of a word with signs `key` and plain form `word` ('' for one that no feature names)."""
+    size, s = key.split(" ", 1)
+    mixed = sum(a in "dD" and b in "xX" for a, b in zip(s, s[1:], strict=False))  # digits before letters
+    names = ["s" + s, "w" + word, f"d{min(4, s.count('d') + s.count('D'))}", "p" + "".join(sorted({c for c in s if c not in "xXdDu"})), "e" + s[-1:], "b" + s[:1], f"l{size}", f"m{size if mixed > 1 else mixed}"]
+    return [digest_of(n) for n in names]
 
 
 def parse_marked(line: str) -> tuple[list[str], list[int]]:
     """Words and label numbers of a line of TRAINING."""
     words, labels = [], []
-    for m in re.finditer(r"\[(email|ip|card|phone):((?:[^\[\]]|\[[^\[\]:]*\])*)\]([.,;!?]?)|([^\x20]+)", line):
+    for m in re.finditer(r"\[(email|ip|card|phone|secret):((?:[^\[\]]|\[[^\[\]:]*\])*)\]([.,;!?]?)|([^\x20]+)", line):
         if m[4]:
             words.append(m[4])
             labels.append(0)
@@ -175,10 +201,16 @@ _SPELT = re.compile(rf"(?i)[\w+-]+(?:{_DOT}[\w+-]+)*(?:\s*[(\[]at[)\]]\s*|\s+at\
 
 
 class Field:
-    """Weights: unary (before, at, after) by feature bucket, and transitions; illegal I tags never follow."""
+    """Weights: unary (before, at, after) by row, the rows of feature hashes, and transitions; illegal I tags never follow.
+
+    Row 0 is that of all features without weights, row 1 of a position outside the text.
+    """
+
+    def __init__(self, rows: dict[int, int], unary: np.ndarray, move: np.ndarray):
+        self.rows, self.unary, self.move = rows, unary, move
 
-    def __init__(self, unary: np.ndarray, move: np.ndarray):
-        self.unary, self.move = unary, move
+    def token(self) -> str:
+        return hashlib.sha256(self.unary.tobytes() + self.move.tobytes()).hexdigest()
 
 
 def _illegal() -> np.ndarray:
@@ -193,15 +225,21 @@ def _illegal() -> np.ndarray:
 
 def train(lines: list[str] = TRAINING, epochs: int = 160, rate: float = 0.08, decay: float = 2e-3) -> Field:
     """Maximum likelihood by Adam; forward and backward passes over all lines at once. Same lines, same weights."""
-    k, rows = len(LABELS), [parse_marked(x) for x in lines]
-    n, t = len(rows), max(len(w) for w, _ in rows)
-    feats = np.full((n, t + 2, 7), BUCKETS)  # the last bucket is for positions outside
+    k, table = len(LABELS), [parse_marked(x) for x in lines]
+    n, t = len(table), max(len(w) for w, _ in table)
+    often = Counter(plain_word(w) for words, _ in table for w in words)
+    rows: dict[int, int] = {}
+    feats = np.full((n, t + 2, 8), 1)
     gold, mask = np.zeros((n, t), int), np.zeros((n, t), bool)
-    for i, (words, labels) in enumerate(rows):
+    for i, (words, labels) in enumerate(table):
         for j, w in enumerate(words):
-            feats[i, j + 1] = features(key_of(w))
+            word = plain_word(w)
+            hashes = features(signs(w), word)
+            if often[word] < 2:  # what a word seen once says must come from its shape and its neighbours
+                hashes[1] = digest_of("w")
+            feats[i, j + 1] = [rows.setdefault(h, 2 + len(rows)) for h in hashes]
         gold[i, : len(words)], mask[i, : len(words)] = labels, True
-    unary, move, bad = np.zeros((3, BUCKETS + 1, k)), np.zeros((k, k)), _illegal()
+    unary, move, bad = np.zeros((3, 2 + len(rows), k)), np.zeros((k, k)), _illegal()
     m = [np.zeros_like(unary), np.zeros_like(move)]
     v = [np.zeros_like(unary), np.zeros_like(move)]
     onehot = np.eye(k)[gold] * mask[..., None]
@@ -230,7 +268,7 @@ def train(lines: list[str] = TRAINING, epochs: int = 160, rate: float = 0.08, de
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             w -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
-    return Field(unary.astype("f4"), (move + bad).astype("f4"))
+    return Field(rows, unary.astype("f4"), (move + bad).astype("f4"))
 
 
 class Decoder:
@@ -242,21 +280,24 @@ class Decoder:
     def __init__(self, field: Field):
         self.field, k = field, len(LABELS)
         self.index: dict[str, int] = {}
-        self.keys: dict[str, int] = {}
+        self.keys: dict[tuple[str, str], int] = {}
         self.table = np.zeros((1024, 3, k), "f4")
-        self.edge = field.unary[:, BUCKETS] * 7  # a position outside counts like a word of outside buckets
+        self.edge = field.unary[:, 1] * 8  # a position outside counts like a word of that row's features
         self.first = np.where((np.arange(k) % 2 == 0) & (np.arange(k) > 0), -1e4, 0).astype("f4")
 
     def number(self, words: list[str]) -> np.ndarray:
         """The rows of the words in the table of potentials."""
-        index, keys = self.index, self.keys
+        index, keys, known = self.index, self.keys, self.field.rows
         for w in {*words}.difference(index):
-            key = key_of(w)
+            plain = plain_word(w)
+            if digest_of("w" + plain) not in known:
+                plain = ""
+            key = (f"{len(w).bit_length()} x" if w.islower() and w.isalpha() else signs(w), plain)
             if (row := keys.get(key)) is None:
                 row = keys[key] = len(keys)
                 if row == len(self.table):
                     self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[row] = self.field.unary[:, features(key)].sum(1)
+                self.table[row] = self.field.unary[:, [known.get(h, 0) for h in features(*key)]].sum(1)
             index[w] = row
         return np.fromiter(map(index.__getitem__, words), np.int32, len(words))
 
@@ -357,6 +398,8 @@ def _holds(kind: str, s: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and not re.search(r"[A-Za-z]", s)
+    if kind == "secret":
+        return len(s) >= 8 and not re.search(r"\s", s) and bool(re.search(r"[0-9]", s)) and bool(re.search(r"[A-Za-z]", s))
     return bool(_SPELT.fullmatch(s))
 
 
@@ -365,6 +408,7 @@ def added_spans(text: str, path: np.ndarray, base: list[tuple[str, int, int]]) -
     places = [m.span() for m in re.finditer(WORD, text)]
     hit = np.flatnonzero(path)
     taken, out, i = sorted((b, e) for _, b, e in base), [], 0
+    reach = [*accumulate((e for _, e in taken), max)]  # the farthest end of the spans up to each
     while i < len(hit):
         j = i
         while j + 1 < len(hit) and hit[j + 1] == hit[j] + 1 and path[hit[j + 1]] % 2 == 0:
@@ -374,7 +418,12 @@ def added_spans(text: str, path: np.ndarray, base: list[tuple[str, int, int]]) -
             begin += 1
         while end > begin and text[end - 1] in "\"'>,;:.!?":
             end -= 1
-        if begin < end and _holds(kind, text[begin:end]) and not any(b < end and begin < e for b, e in taken):
+        if kind == "secret" and (cut := text.rfind("=", begin, end - 1)) >= 0 and re.fullmatch(r"[A-Za-z_.-]+", text[begin:cut]):
+            begin = cut + 1  # a name and its value in one word
+            while begin < end and text[begin] in "\"'":
+                begin += 1
+        at = bisect_left(taken, (end, -1))
+        if begin < end and _holds(kind, text[begin:end]) and not (at and reach[at - 1] > begin):
             out.append((kind, begin, end))
         i = j + 1
     return out
@@ -391,7 +440,7 @@ def _scan(batch: pa.RecordBatch, decoder: Decoder) -> tuple[list[str], list, lis
 def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), field: Field | None = None) -> DataFrame:
     """The columns `keep` of docs, base_spans and spans (arrays of kind, start, end in code points, end exclusive)."""
     field = field or train()
-    token = ("pii", hashlib.sha256(field.unary.tobytes() + field.move.tobytes()).hexdigest())
+    token = ("pii", field.token())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +458,7 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), field: Fiel
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with every span replaced by <KIND>, overlapping spans by the first; n_chars, if there, counts anew."""
     field = field or train()
-    token = ("pii", hashlib.sha256(field.unary.tobytes() + field.move.tobytes()).hexdigest())
+    token = ("pii", field.token())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = kept(token, lambda: Decoder(field))
@@ -443,5 +492,5 @@ def digest(found: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    n = [count(k) for k in KINDS]
+    n = [count(k) for k in BASE]
     return found.select("doc_id", *n, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -53,6 +53,29 @@ def test_pii_on_odd_rows(odd, none):
     assert rows(pii.digest(pii.find_spans(none))) == []
 
 
+def test_pii_beside_nulls_and_ties(spark):
+    text = "write to a.b@c.de, 10.0.0.1 or +1 (487) 555-7209; token = \"77aa88bb99cc00dd11ee22ff\" ends"
+    data = [(1, text, "x", 1), (1, text, "x", 1), (None, text, None, 2), (2, None, "y", None), (3, "", "z", 3), (4, "w " * 300_000 + text, "z", 3)]
+    d = spark.createDataFrame(data, "doc_id long, text string, spans string, n_email long")
+    want = []
+    for i, t, *_ in data:
+        base = pii.base_spans(t or "")
+        at = (t or "").find("77aa")
+        every = [*base, *([("secret", at, at + 24)] if at >= 0 else [])]
+        line = lambda xs: ",".join(f"{k}:{b}:{e}" for k, b, e in xs)
+        want.append((str(i), sum(k == "email" for k, *_ in base), hashlib.sha256(line(base).encode()).hexdigest(), line(every)))
+    got = [(str(r["doc_id"]), r["n_email"], r["base_sha256"], r["spans"]) for r in rows(pii.digest(pii.find_spans(d)))]
+    assert sorted(got) == sorted(want)
+
+
+def test_field_adds_only_secrets_of_the_corpus(spark):
+    """Every added span of a real table is the value behind a name like token or key: none is in other prose."""
+    found = pii.find_spans(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ("doc_id", "text"))
+    added = [(r["text"], s) for r in found.collect() for s in r["spans"] if s not in r["base_spans"]]
+    assert len(added) >= 5
+    assert all(s["kind"] == "secret" and any(c in t[max(0, s["start"] - 24) : s["start"]].lower() for c in ("token", "key", "secret", "password")) for t, s in added)
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([(1, "write to a.b@c.de or +1 (487) 555-7209 now", "x"), (2, None, "y"), (3, "clean text", "z")], "doc_id long, text string, n_chars string")
     out = {r["doc_id"]: r for r in rows(pii.redact(d))}

@@ -45,11 +45,18 @@ def test_field_learns_its_table_and_leaves_plain_prose(field):
 
 def test_field_finds_unseen_forms(field):
     d = pii.Decoder(field)
-    for text, kind in (("please call (323) 555-9830 today.", "phone"), ("mail jo dot kim at site dot org now", "email"), ("from 9[.]8[.]7[.]6 came", "ip"), ("pay 4111_1111_1111_1111 now", "card")):
+    for text, kind in (("please call (323) 555-9830 today.", "phone"), ("mail jo dot kim at site dot org now", "email"), ("from 9[.]8[.]7[.]6 came", "ip"), ("pay 4111_1111_1111_1111 now", "card"), ("my password: a8Kd93kLq0 ok", "secret"), ("put client_secret=Ab3dE5fG7hJ9kL in", "secret"), ("the token = '00ffee11dd22cc33bb44aa55' stays", "secret")):
         path = d.decode([text])[0]
         assert [s[0] for s in pii.added_spans(text, path, [])] == [kind]
 
 
+def test_field_leaves_codes_without_a_cue(field):
+    d = pii.Decoder(field)
+    for text in ("commit 1f0e3dad99908345f7439f8ffabdffc4b10b0ea1 went in", "the token of thanks was 3 coins", "box k9 and gate b7 at 10:30", "a key = value pair", "x" * 5000 + "1 " + "a1" * 5000):
+        path = d.decode([text])[0]
+        assert not len(path) or pii.added_spans(text, path, []) == [], text
+
+
 def test_cutting_certain_words_keeps_the_best_path(field):
     class Whole(pii.Decoder):
         def certain(self, e, off):
