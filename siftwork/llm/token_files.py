@@ -3,7 +3,7 @@
 Format, for each part of the ascending doc_id order:
   part.ids   token ids, little-endian unsigned: 16 bits if the vocabulary has at most 65,536 ids, else 32
   part.off   little-endian unsigned 64-bit offsets in ids, one more than the part has documents
-  part.doc   little-endian signed 64-bit doc_ids
+  part.doc   little-endian signed 64-bit doc_ids; null ones come first, the manifest says how many (0 in the file)
 The base of a part is the prefix sum of the ids of the parts before it; a document's global start is base plus offset.
 
 Encoding is by the tokenizers library. A byte-level pre-tokenizer always splits before a space that precedes a
@@ -12,7 +12,8 @@ afterwards; the ids are those of the whole text (tests compare them). Texts that
 <|endoftext|>, are cut there first, as the library as loaded does: the token's id stands for the string.
 
 Scale: one shuffle, a range partition on doc_id; each task writes its part alone, and the only thing gathered is a
-window over one row for each part. A task writes under a name of its own and renames at its end; the manifest that
+window over one row for each part. Parts are read back by as many tasks as there are parts, by memory map or, in a remote
+store, by ranges of about RANGE bytes. A task writes under a name of its own and renames at its end; the manifest that
 Spark commits names the files of the attempt that counts, so lost executors and repeated tasks do no harm.
 
 Cases: null or empty text is the end id alone; a null doc_id comes first and reads back as null; equal doc_ids are
@@ -44,7 +45,8 @@ ENDS = ".,;:!?%&$#*|"
 #: The characters that byte-level models use for bytes: printable Latin-1 for itself, the others from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: b if b in _PLAIN else 256 + [x for x in range(256) if x not in _PLAIN].index(b) for b in range(256)}
-NO_DOC = np.iinfo(np.int64).min
+#: Bytes of ids that a reader holds at a time.
+RANGE = 4 << 20
 
 
 class ChunkEncoder:
@@ -152,7 +154,7 @@ class ChunkEncoder:
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out: str | None = None) -> DataFrame:
-    """Writes the files under `out` (default: the shared folder); one row for each part: part, path, n_docs, n_ids, dtype, base."""
+    """Writes the files under `out` (default: the shared folder); one row for each part: part, path, n_docs, n_nulls, n_ids, dtype, base."""
     spark = docs.sparkSession
     out = out or shared_dir(spark)
     from tokenizers import Tokenizer
@@ -165,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out
         part = pyspark.TaskContext.get().partitionId()
         stem = f"{root}/part-{part:06d}-{uuid.uuid4().hex}"
         encoder, end = kept(("chunks", tokenizer_path, dtype), lambda: ChunkEncoder(tokenizer_path, dtype, added=True)), np.array([end_id], dtype).tobytes()
-        width, ids, offsets, names = len(end), None, [0], []
+        width, ids, offsets, names, nulls = len(end), None, [0], [], 0
         for batch in slices(batches, "text"):
             if ids is None:
                 ids = fs.open_output_stream(f"{stem}.ids.open")
@@ -173,7 +175,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out
                 data += end
                 ids.write(data)
                 offsets.append(offsets[-1] + len(data) // width)
-                names.append(NO_DOC if doc is None else doc)
+                names.append(0 if doc is None else doc)
+                nulls += doc is None
         if ids is None:
             return
         ids.close()
@@ -182,11 +185,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, out
                 f.write(data.tobytes())
         for kind in ("ids", "off", "doc"):
             fs.move(f"{stem}.{kind}.open", f"{stem}.{kind}")
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": stem, "n_docs": len(names), "n_ids": offsets[-1]}])
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": stem, "n_docs": len(names), "n_nulls": nulls, "n_ids": offsets[-1]}])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    parts = materialize(ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long"))
+    parts = materialize(ordered.mapInArrow(write, "part long, path string, n_docs long, n_nulls long, n_ids long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
     return parts.select("*", F.lit(dtype).alias("dtype"), F.lit(out).alias("root"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
@@ -198,25 +201,31 @@ def read_token_files(parts: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 fs, _ = pafs.FileSystem.from_uri(r["root"])
-
-                def load(kind: str, dtype: str) -> np.ndarray:
-                    if isinstance(fs, pafs.LocalFileSystem):
-                        return np.memmap(f"{r['path']}.{kind}", dtype, "r")  # noqa: B023
-                    with fs.open_input_file(f"{r['path']}.{kind}") as f:  # noqa: B023
-                        return np.frombuffer(f.read_buffer(), dtype)
-
-                ids, off, doc = load("ids", r["dtype"]), load("off", "<u8"), load("doc", "<i8")
-                begin = 0
-                while begin < len(doc):
-                    end = max(begin + 1, int(np.searchsorted(off, off[begin] + np.uint64(1 << 20), "right")) - 1)
-                    end = min(end, len(doc), begin + 4096)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(doc[begin:end], mask=doc[begin:end] == NO_DOC), pa.array((off[begin:end] + np.uint64(r["base"])).astype("i8")), pa.array(np.diff(off[begin : end + 1]).astype("i8")),
-                        pa.array([ids[off[i] : off[i + 1]].astype("<u4").tobytes() for i in range(begin, end)], pa.binary()),
-                    ], ["doc_id", "start", "n_tokens", "ids"])
-                    begin = end
-
-    return parts.repartition(F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+                with fs.open_input_file(f"{r['path']}.off") as f:
+                    off = np.frombuffer(f.read(), "<u8")
+                with fs.open_input_file(f"{r['path']}.doc") as f:
+                    doc = np.frombuffer(f.read(), "<i8")
+                width = np.dtype(r["dtype"]).itemsize
+                mapped = np.memmap(f"{r['path']}.ids", r["dtype"], "r") if isinstance(fs, pafs.LocalFileSystem) else None
+                with fs.open_input_file(f"{r['path']}.ids") as f:
+                    begin = 0
+                    while begin < len(doc):
+                        end = max(begin + 1, int(np.searchsorted(off, off[begin] + np.uint64(RANGE // width), "right")) - 1)
+                        end = min(end, len(doc), begin + 4096)
+                        if mapped is None:
+                            f.seek(int(off[begin]) * width)
+                            ids = np.frombuffer(f.read(int(off[end] - off[begin]) * width), r["dtype"])
+                        else:
+                            ids = mapped[off[begin] : off[end]]
+                        at = (off[begin : end + 1] - off[begin]).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(doc[begin:end], mask=np.arange(begin, end) < r["n_nulls"]), pa.array((off[begin:end] + np.uint64(r["base"])).astype("i8")), pa.array(np.diff(at)),
+                            pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                        ], ["doc_id", "start", "n_tokens", "ids"])
+                        begin = end
+
+    tasks = max(1, parts.count())
+    return parts.repartitionByRange(tasks, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:

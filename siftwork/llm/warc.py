@@ -6,7 +6,7 @@ MIN_REVISIT bytes the one with the largest page_id is the response; the others a
 Index: lines (reversed-host URL key, page_id, archive, offset, length) are range-sorted; each part holds compressed
 blocks of LINES lines and a sparse directory with the first key of each block; a short table has the first key of each
 part. A look-up finds the part and then the block by binary search, reads one block, finds the line by binary search, and
-reads the record's bytes of the archive.
+reads the record's bytes of the archive. Look-ups are dealt by range over about one task for READ_BYTES of records.
 
 Scale: duplicates are found by a grouped maximum over digests (map-side combined, so a payload may be any share of the
 rows); only rows that turn into revisits are then joined to the pages, by broadcast if Spark finds their table small. Html
@@ -41,7 +41,8 @@ MIN_REVISIT = 1000
 LINES = 256
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NO_ID = -(1 << 63)
+#: About how many bytes of archives one task reads.
+READ_BYTES = 4 << 20
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^#]*)")
 
 
@@ -54,6 +55,11 @@ def surt(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda c: quote(c[0]), f"{','.join(reversed(parts))}{port}){rest if rest.startswith('/') else '/' + rest}")
 
 
+def ident(page_id: int | None) -> tuple[int, int]:
+    """Sorts like Spark's page_id: null first."""
+    return (0, 0) if page_id is None else (1, page_id)
+
+
 def record_id(page_id: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -112,7 +118,7 @@ def write_archives(pages: DataFrame, out: str | None = None, level: int = 1) ->
                 z = zlib.compressobj(level, zlib.DEFLATED, 31)
                 data = z.compress(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to)) + z.flush()
                 f.write(data)
-                rows.append((surt(url), NO_ID if page_id is None else page_id, path, at, len(data)))
+                rows.append((surt(url), page_id, path, at, len(data)))
                 at += len(data)
         if f is not None:
             f.close()
@@ -125,18 +131,18 @@ def write_archives(pages: DataFrame, out: str | None = None, level: int = 1) ->
 
 
 def write_index(records: DataFrame, out: str | None = None, lines: int = LINES) -> DataFrame:
-    """Blocks and directories under `out`; one row for each part: key and page_id of its first line, stem of its files."""
+    """Blocks and directories under `out`; one row for each part: key and page_id of its first line, stem of its files, bytes of its records."""
     out = out or shared_dir(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
         fs.create_dir(root, recursive=True)
-        stem, f, at, block, directory = f"{root}/index-{uuid.uuid4().hex}", None, 0, [], []
+        stem, f, at, block, directory, total = f"{root}/index-{uuid.uuid4().hex}", None, 0, [], [], 0
 
         def flush() -> None:
             nonlocal at
             if block:
-                data = zlib.compress("\n".join("\t".join(map(str, r)) for r in block).encode("utf-8", "surrogatepass"), 6)
+                data = zlib.compress("\n".join("\t".join("" if x is None else str(x) for x in r) for r in block).encode("utf-8", "surrogatepass"), 6)
                 f.write(data)
                 directory.append([block[0][0], block[0][1], at, len(data)])
                 at += len(data)
@@ -146,6 +152,7 @@ def write_index(records: DataFrame, out: str | None = None, lines: int = LINES)
             f = f or fs.open_output_stream(f"{stem}.blocks.open")
             for r in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "path", "offset", "length")), strict=True):
                 block.append(r)
+                total += r[-1]
                 if len(block) == lines:
                     flush()
         if f is None:
@@ -156,10 +163,10 @@ def write_index(records: DataFrame, out: str | None = None, lines: int = LINES)
             d.write(json.dumps(directory).encode())
         for kind in ("blocks", "dir"):
             fs.move(f"{stem}.{kind}.open", f"{stem}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]], pa.string()), pa.array([directory[0][1]], pa.int64()), pa.array([stem], pa.string()), pa.array([out], pa.string())], ["key", "page_id", "stem", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]], pa.string()), pa.array([directory[0][1]], pa.int64()), pa.array([stem], pa.string()), pa.array([out], pa.string()), pa.array([total], pa.int64())], ["key", "page_id", "stem", "root", "bytes"])
 
     ordered = records.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return materialize(ordered.mapInArrow(write, "key string, page_id long, stem string, root string"))
+    return materialize(ordered.mapInArrow(write, "key string, page_id long, stem string, root string, bytes long"))
 
 
 class Index:
@@ -168,7 +175,7 @@ class Index:
     def __init__(self, fs: pafs.FileSystem, stem: str):
         with fs.open_input_stream(f"{stem}.dir") as f:
             self.directory = json.loads(f.read())
-        self.firsts = [(k, i) for k, i, _, _ in self.directory]
+        self.firsts = [(k, ident(i)) for k, i, _, _ in self.directory]
         self.file, self.at, self.lines, self.keys = fs.open_input_file(f"{stem}.blocks"), -1, [], []
 
     def load(self, b: int) -> None:
@@ -176,16 +183,20 @@ class Index:
             _, _, offset, length = self.directory[b]
             self.file.seek(offset)
             rows = [x.split("\t") for x in zlib.decompress(self.file.read(length)).decode("utf-8", "surrogatepass").split("\n")]
-            self.lines, self.at = [(k, int(i), p, int(o), int(n)) for k, i, p, o, n in rows], b
-            self.keys = [r[:2] for r in self.lines]
+            self.lines, self.at = [(k, int(i) if i else None, p, int(o), int(n)) for k, i, p, o, n in rows], b
+            self.keys = [(r[0], ident(r[1])) for r in self.lines]
+
+    def close(self) -> None:
+        self.file.close()
 
-    def find(self, key: str, page_id: int) -> Iterator[tuple]:
+    def find(self, key: str, page_id: int | None) -> Iterator[tuple]:
         """All lines of a key and page_id."""
-        b = max(0, bisect.bisect_left(self.firsts, (key, page_id)) - 1)
-        while b < len(self.firsts) and self.firsts[b] <= (key, page_id):
+        name = key, ident(page_id)
+        b = max(0, bisect.bisect_left(self.firsts, name) - 1)
+        while b < len(self.firsts) and self.firsts[b] <= name:
             self.load(b)
-            i = bisect.bisect_left(self.keys, (key, page_id))
-            while i < len(self.keys) and self.keys[i] == (key, page_id):
+            i = bisect.bisect_left(self.keys, name)
+            while i < len(self.keys) and self.keys[i] == name:
                 yield self.lines[i]
                 i += 1
             b += 1
@@ -193,7 +204,7 @@ class Index:
 
 def look_up(wanted: DataFrame, parts: DataFrame) -> DataFrame:
     """Records of (url, page_id) rows, read through the index: page_id, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    table = sorted((r["key"], r["page_id"], r["stem"], r["root"]) for r in parts.collect())  # one row for each part
+    table = sorted((r["key"], ident(r["page_id"]), r["stem"], r["root"], r["bytes"]) for r in parts.collect())  # one row for each part
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     spark = wanted.sparkSession
     if not table:
@@ -203,8 +214,8 @@ def look_up(wanted: DataFrame, parts: DataFrame) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [surt(u) for u in batch.column("url").to_pylist()]
-            ids = [NO_ID if i is None else i for i in batch.column("page_id").to_pylist()]
-            part = [max(0, bisect.bisect_right(firsts, x) - 1) for x in zip(keys, ids, strict=True)]
+            ids = batch.column("page_id").to_pylist()
+            part = [max(0, bisect.bisect_right(firsts, (k, ident(i))) - 1) for k, i in zip(keys, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(keys, pa.string()), pa.array(ids, pa.int64())], ["part", "key", "page_id"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +227,8 @@ def look_up(wanted: DataFrame, parts: DataFrame) -> DataFrame:
         for batch in batches:
             for part, key, page_id in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "page_id")), strict=True):
                 if part not in indexes:
+                    for x in indexes.values():
+                        x.close()
                     indexes.clear()
                     indexes[part] = Index(fs, table[part][2])
                 # equal lines stand at the end of one part and the start of the next only if repeated rows do
@@ -238,13 +251,16 @@ def look_up(wanted: DataFrame, parts: DataFrame) -> DataFrame:
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(out, READ)
                             out, held = [], 0
-                    if firsts[k] != (key, page_id):
+                    if firsts[k] != (key, ident(page_id)):
                         break
         if out:
             yield pa.RecordBatch.from_pylist(out, READ)
+        for x in (*indexes.values(), *files.values()):
+            x.close()
 
+    tasks = max(len(table), -(-sum(r[4] for r in table) // READ_BYTES))
     routed = wanted.select("url", "page_id").distinct().mapInArrow(route, "part long, key string, page_id long")
-    return routed.distinct().repartition("part").sortWithinPartitions("part", "key", "page_id").mapInArrow(read, schema)
+    return routed.distinct().repartitionByRange(tasks, "part", "key", "page_id").sortWithinPartitions("part", "key", "page_id").mapInArrow(read, schema)
 
 
 READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])

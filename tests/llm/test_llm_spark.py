@@ -164,6 +164,16 @@ def test_token_files_equal_the_library(spark, odd, none):
     assert rows(token_files.token_digest(none, BPE)) == []
 
 
+def test_token_files_keep_all_ids_and_read_ranges(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE", 64)
+    low = -(1 << 63)
+    d = spark.createDataFrame([(low, "a b c d " * 40), (None, "x"), (None, "y z"), (0, "t " * 5000), (5, None)], "doc_id long, text string").repartition(3)
+    parts = token_files.write_token_files(d, BPE)
+    out = sorted(rows(token_files.read_token_files(parts)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None, None, low, 0, 5]
+    assert token_files.read_token_files(parts).rdd.getNumPartitions() >= parts.count()
+
+
 def test_token_files_hold_the_ids_of_added_tokens(spark):
     out = rows(token_files.token_digest(spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "x")], "doc_id long, text string"), BPE))
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in out] == [(1, 0, 5), (2, 5, 2)]
@@ -175,8 +185,8 @@ def test_token_files_hold_the_ids_of_added_tokens(spark):
 
 def page_rows(spark):
     big, small = "<p>" + "x" * 1200 + "</p>", "<p>s</p>"
-    data = [(1, "http://a.b/1", big), (2, "http://a.b/1", big), (9, "http://c.d/?q", big), (3, None, small), (4, "http://a.b/2", small), (5, "http://a.b/2", None), (None, "http://e.f", big), (6, "http://z", "é" * 600), (6, "http://z", "é" * 600)]
-    return spark.createDataFrame(data, "page_id long, url string, html string")
+    data = [(1, "http://a.b/1", big), (2, "http://a.b/1", big), (9, "http://c.d/?q", big), (3, None, small), (4, "http://a.b/2", small), (5, "http://a.b/2", None), (None, "http://e.f", big), (6, "http://z", "é" * 600), (6, "http://z", "é" * 600), (-(1 << 63), "http://low", small), (None, None, "v" * 3_000_000)]
+    return spark.createDataFrame([(*r, "extra", None) for r in data], "page_id long, url string, html string, record_type string, payload binary")
 
 
 def test_archives_round_trip(spark):
@@ -185,7 +195,7 @@ def test_archives_round_trip(spark):
     want = []
     for r in rows(p):
         b = (r["html"] or "").encode()
-        top = max(x["page_id"] or 0 for x in rows(p) if x["html"] == r["html"])
+        top = max((x["page_id"] for x in rows(p) if x["html"] == r["html"] and x["page_id"] is not None), default=None)
         rev = len(b) >= 1000 and r["page_id"] is not None and r["page_id"] < top
         want.append({"page_id": r["page_id"], "payload_bytes": len(b), "payload_digest": hashlib.sha1(b).hexdigest(), "record_type": "revisit" if rev else "response", "refers_to": top if rev else None})
     assert out == sorted(want, key=str)
