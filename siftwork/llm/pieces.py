@@ -5,11 +5,13 @@ joining two arcs weighs 0 or -infinity for a BPE model (may these pieces stand s
 of their joint text?) and arcs weigh their score for a unigram model. From a given entry every position has one best
 last piece, so a path is found left to right.
 
-A long text is cut into chunks at fixed positions. The state at a cut is the arc that crosses or ends at it. For each
-chunk, a task computes the transfer matrix from its entry states to its exit states; matrices of a text are combined by
+A long text is cut into chunks of about CHUNK characters, at the head of a word (a run of spaces and what follows it) if one is
+within half a chunk, else where the chunk ends. The state at a cut is the arc that crosses or ends at it; no arc crosses the
+head of a word, so there is one state there. For each chunk, a task computes the transfer matrix from its entry states to its exit states; matrices of a text are combined by
 max-plus products, pairwise, in a tree; the chosen states then fix entry and exit of each chunk, and each chunk is traced back
-alone. Between words (a run of spaces and what follows it) no piece crosses, so paths from all entries meet
-there, and the words inside a chunk are encoded once in a worker's life.
+alone. Paths from all entries meet at heads of words, and the words inside a chunk are encoded once in a worker's life.
+One case is left to one task, which encodes the whole text: several spaces side by side before a word that is longer than half
+a chunk, as pieces of spaces tie in score and the scan can't tell how the run ends inside such a word.
 
 Scale: a text of one chunk needs no shuffle. Chunks of longer ones go to the shared folder once; what is grouped by
 text is its matrices and its ids, never more than that text itself.
@@ -42,8 +44,8 @@ _HEAD = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 class Pieces:
     """The lattice of one model: which substrings are arcs, and how two of them join."""
 
-    #: Words of each of two generations, and joins, that a worker keeps.
-    CACHE, PAIRS = 1 << 19, 1 << 19
+    #: Words of each of two generations, the longest of them, and joins, that a worker keeps: some 100 MB at most.
+    CACHE, LONGEST, PAIRS = 1 << 18, 64, 1 << 18
 
     def __init__(self, path: str):
         import sentencepiece
@@ -179,6 +181,8 @@ class Pieces:
 
     def word(self, w: str) -> bytes:
         """ids of a run of spaces with what follows it, or of what no space precedes."""
+        if len(w) > self.LONGEST:
+            return self.fresh(w)
         got = self.words.get(w)
         if got is None:
             got = self.old.get(w)
@@ -235,6 +239,16 @@ class Pieces:
         except KeyError:
             return b"".join(map(self.word, found))
 
+    def cuts(self, s: str, chunk: int) -> list[int]:
+        """Where to cut the surface s: its ends, and about every `chunk` characters the nearest head of a word."""
+        out, half = [0], chunk // 2
+        for q in range(chunk, len(s), chunk):
+            m = _HEAD.search(s, q, q + half)
+            at = m.start() if m else max((m.start() for m in _HEAD.finditer(s, q - half, q)), default=q)
+            if at > out[-1]:
+                out.append(at)
+        return [*out, len(s)]
+
     # ---- chunks: s is left context, the chunk [p, q) and right context ----
 
     def crossing(self, s: str, q: int) -> list[tuple[int, int]]:
@@ -253,30 +267,40 @@ class Pieces:
                     out[b - q, e - q] = v
         return best, start, out
 
-    def unsettled(self, s: str, p: int, q: int) -> bool:
-        """Do spaces side by side stand where a chunk's ends are joined?"""
-        heads = [m.start() for m in _HEAD.finditer(s, p + self.longest, q)]
-        inner = [h for h in heads if h < q - self.longest]
-        return SPACE + SPACE in (s[max(0, p - self.longest) : inner[0]] + "|" + s[inner[-1] - 1 : q + self.longest] if inner else s[max(0, p - self.longest) : q + self.longest])
+    def head(self, s: str, p: int) -> bool:
+        """Does a word begin at a cut?"""
+        return p == len(s) or (p > 0 and s[p] == SPACE and s[p - 1] != SPACE)
+
+    def value(self, s: str) -> float:
+        """Of whole words."""
+        return 0.0 if self.bpe else sum(self.forward(w, 0, "", len(w))[0][-1] for w in _WORD.findall(s))
 
     def transfer(self, s: str, p: int, q: int, first: bool) -> dict[tuple[int, int], dict[tuple[int, int], float]]:
-        """The matrix of a chunk, by entry and exit state relative to its cuts; infeasible entries are left out."""
-        if self.bpe and self.unsettled(s, p, q):
-            return {}
-        entries = [(0, 0)] if first else [(b - p, e - p) for b, e in self.crossing(s, p)]
-        sync = _HEAD.search(s, p + self.longest)
-        meet = sync.start() if sync and sync.start() < q - self.longest else -1
+        """The matrix of a chunk, by entry and exit state relative to its cuts; (0, 0) is the state at the head of a word.
+
+        Infeasible entries are left out; empty if a run of spaces keeps the chunk from being settled.
+        """
+        clean, ends = first or self.head(s, p), self.head(s, q)
+        meet = p if clean else m.start() if (m := _HEAD.search(s, p + self.longest, q + 1)) else -1
+        if meet >= 0 and not ends:
+            last = max((m.start() for m in _HEAD.finditer(s, meet, q - self.longest)), default=meet)
+        if self.bpe:
+            open_parts = ([] if clean else [s[max(0, p - self.longest) : meet if meet >= 0 else q]]) + ([] if ends else [s[last if meet >= 0 else p : q + self.longest]])
+            if any(SPACE + SPACE in x for x in open_parts):
+                return {}
         rest = None
-        if meet >= 0:
-            last = max(m.start() for m in _HEAD.finditer(s, meet, q - self.longest))
-            _, _, tail = self.exits(s, last, "", q)
-            middle = 0.0 if self.bpe else sum(self.forward(w, 0, "", len(w))[0][-1] for w in _WORD.findall(s[meet:last]))
-            rest = {k: v + middle for k, v in tail.items()}
+        if meet >= 0 and ends:
+            rest = {(0, 0): self.value(s[meet:q])}
+        elif meet >= 0:
+            middle = self.value(s[meet:last])
+            rest = {k: v + middle for k, v in self.exits(s, last, "", q)[2].items()}
         out = {}
-        for b, e in entries:
+        for b, e in [(0, 0)] if clean else [(b - p, e - p) for b, e in self.crossing(s, p)]:
             begin, before = p + e, s[p + b : p + e]
             if meet < 0:
                 got = {(b, e): 0.0} if begin > q else self.exits(s, begin, before, q)[2]
+                if ends and got:
+                    got = {(0, 0): max(got.values())}
             else:
                 v = self.forward(s, begin, before, meet)[0][-1]
                 got = {k: v + x for k, x in rest.items()} if v > MINUS else {}
@@ -284,20 +308,23 @@ class Pieces:
                 out[b, e] = got
         return out
 
-    def between(self, s: str, p: int, q: int, entry: tuple[int, int], leave: tuple[int, int] | None) -> bytes:
-        """ids of the arcs that begin in the chunk, given both states (leave None: the text ends at q)."""
-        begin, before = p + entry[1], s[p + entry[0] : p + entry[1]]
-        end = q if leave is None else q + leave[0]
+    def between(self, s: str, p: int, q: int, first: bool, entry: tuple[int, int], leave: tuple[int, int]) -> bytes:
+        """ids of the arcs that begin in the chunk, given both states."""
+        begin, before, end = p + entry[1], s[p + entry[0] : p + entry[1]], q + leave[0]
         heads = [m.start() for m in _HEAD.finditer(s, begin, end)]
+        if first:
+            heads = [begin, *heads]
         if not heads:
-            best, start = self.forward(s, begin, before, end)
-            got = self.ids(self.trace(s, begin, start, end))
-        else:
-            best, start = self.forward(s, begin, before, heads[0])
-            got = self.ids(self.trace(s, begin, start, heads[0])) + b"".join(map(self.word, _WORD.findall(s[heads[0] : heads[-1]])))
-            best, start = self.forward(s, heads[-1], "", end)
-            got += self.ids(self.trace(s, heads[-1], start, end))
-        return got + (b"" if leave is None else self.ids([s[q + leave[0] : q + leave[1]]]))
+            return self.path(s, begin, before, end) + self.arc_ids(s, q, leave)
+        got, last = self.path(s, begin, before, heads[0]), end if leave == (0, 0) else heads[-1]
+        got += b"".join(map(self.word, _WORD.findall(s[heads[0] : last])))
+        return got + (b"" if last == end else self.path(s, last, "", end)) + self.arc_ids(s, q, leave)
+
+    def path(self, s: str, begin: int, before: str, end: int) -> bytes:
+        return self.ids(self.trace(s, begin, self.forward(s, begin, before, end)[1], end))
+
+    def arc_ids(self, s: str, q: int, state: tuple[int, int]) -> bytes:
+        return b"" if state == (0, 0) else self.ids([s[q + state[0] : q + state[1]]])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, spaces for the space sign, less the added one."""
@@ -327,7 +354,7 @@ def product(a: Matrix, b: Matrix) -> Matrix:
 
 
 def states(mats: list[Matrix]) -> list[tuple[int, int]] | None:
-    """The state at each cut of the best path from (0, 0) to the end (0, 0 relative: arcs that end there), by a tree of products.
+    """The state at each cut of the best path from (0, 0) to (0, 0), the heads before and after the text, by a tree of products.
 
     Down the tree a node knows its outer states and picks the state between its halves. None if there is no path.
     """
@@ -335,10 +362,9 @@ def states(mats: list[Matrix]) -> list[tuple[int, int]] | None:
     while len(level) > 1:
         level = [product(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         tree.append(level)
-    ends = {j: v for j, v in tree[-1][0].get((0, 0), {}).items() if j[1] == 0}
-    if not ends:
+    if (0, 0) not in tree[-1][0].get((0, 0), {}):
         return None
-    bounds = [(0, 0), max(ends, key=lambda j: (ends[j], j))]
+    bounds = [(0, 0), (0, 0)]
     for level in reversed(tree[:-1]):
         new = [bounds[0]]
         for i in range(0, len(level), 2):
@@ -384,7 +410,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
         for batch in slices(batches, "text"):
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = model.surface(text)
-                cuts = [*range(0, len(s), chunk), len(s)]
+                cuts = model.cuts(s, chunk)
                 yield pa.RecordBatch.from_pylist([{"row": row, "k": k, "n": len(cuts) - 1, "p": min(p, side), "q": min(p, side) + q - p, "s": s[max(0, p - side) : q + side]} for k, (p, q) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
 
     giants = materialize(used.where(long).withColumn("row", F.monotonically_increasing_id()))
@@ -393,14 +419,14 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("pieces", model_path), lambda: Pieces(model_path))
-        for batch in batches:
+        for batch in slices(batches, "s"):
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_pylist([{"row": r["row"], "k": r["k"], "m": _flat(model.transfer(r["s"], r["p"], r["q"], r["k"] == 0))} for r in rows])
 
     def choose(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["k"])
         at = states([_matrix(r["m"]) for r in rows])
-        if at is None:  # side by side spaces at a cut: chunk 0 stands for the text, which is then encoded whole
+        if at is None:  # spaces side by side before a word longer than half a chunk: chunk 0 stands for the text, which is then encoded whole
             return pa.table({"row": [rows[0]["row"]], "k": pa.array([0], pa.int64()), **{c: pa.array([None], pa.int64()) for c in "abcd"}})
         return pa.Table.from_pylist([{"row": r["row"], "k": r["k"], "a": a[0], "b": a[1], "c": b[0], "d": b[1]} for r, a, b in zip(rows, at[:-1], at[1:], strict=True)])
 
@@ -408,8 +434,8 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = kept(("pieces", model_path), lambda: Pieces(model_path))
-        for batch in batches:
-            yield pa.RecordBatch.from_pylist([{"row": r["row"], "k": r["k"], "ids": model.between(r["s"], r["p"], r["q"], (r["a"], r["b"]), (r["c"], r["d"]))} for r in batch.to_pylist()])
+        for batch in slices(batches, "s"):
+            yield pa.RecordBatch.from_pylist([{"row": r["row"], "k": r["k"], "ids": model.between(r["s"], r["p"], r["q"], r["k"] == 0, (r["a"], r["b"]), (r["c"], r["d"]))} for r in batch.to_pylist()])
 
     chosen = materialize(chosen)
     traced = chunks.join(chosen.where("a is not null"), ["row", "k"]).mapInArrow(back, "row long, k long, ids binary")

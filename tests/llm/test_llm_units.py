@@ -135,22 +135,25 @@ def test_pieces_encode_like_the_library_and_decode_back(model):
         assert model.decode(ids) == t.replace("▁", " ")
 
 
-def chunked(model, text, chunk):
+def chunked(model, text, chunk, moved=True):
     s, side = model.surface(text), 2 * model.longest
-    cuts = [*range(0, len(s), chunk), len(s)]
+    cuts = model.cuts(s, chunk) if moved else [*range(0, len(s), chunk), len(s)]
     parts = [(min(p, side), min(p, side) + q - p, s[max(0, p - side) : q + side]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
     mats = [pieces._matrix(pieces._flat(model.transfer(x, p, q, k == 0))) for k, (p, q, x) in enumerate(parts)]
     at = pieces.states(mats)
-    return None if at is None else b"".join(model.between(x, p, q, a, b) for (p, q, x), a, b in zip(parts, at[:-1], at[1:], strict=True))
+    return None if at is None else b"".join(model.between(x, p, q, k == 0, a, b) for k, ((p, q, x), a, b) in enumerate(zip(parts, at[:-1], at[1:], strict=True)))
 
 
 @pytest.mark.parametrize("chunk", [33, 50, 200])
 def test_chunks_give_the_whole_path(model, chunk):
     n = 0
+    for t in ["def f(x):\n" + "        return x  +  1\n" * 40, "a  b   c " * 60, "   lead" + "  and tail  " * 30]:  # code and columns stay in the scan
+        assert chunked(model, t, 4 * chunk) == model.whole(t)
     for t in [re.sub("[ ▁]+", " ", x) for x in odd_texts(60, seed=chunk)] + odd_texts(60, seed=chunk) + ["erouthetionable " * 60, "a" * 500, "noblanksatall" * 40]:
-        if len(t) > chunk and (got := chunked(model, t, chunk)) is not None:
-            n += 1
-            assert got == model.whole(t)
+        for moved in (True, False):
+            if len(t) > chunk and (got := chunked(model, t, chunk, moved)) is not None:
+                n += 1
+                assert got == model.whole(t)
     assert n > 5
 
 
