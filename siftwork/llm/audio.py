@@ -5,8 +5,11 @@ A text's UTF-8 bytes, padded by zero bytes to a positive multiple of 64, are the
 Hann-windowed frames give log-mel energies, these are cut into blocks of BLOCK frames (the last one padded), and
 segments are the stretches that frame energy enters above a high and leaves below a low threshold.
 
-Scale: no shuffle; media are written once to the shared folder and read back by tasks that hold one batch cut by bytes;
-frames of one text are computed in pieces of PIECE frames. Results for a text depend on that text alone.
+Tensors go to Arrow files, one a task: a row for each block with its number, time span and fixed-shape tensor; a text's
+first block also has its digests and segments. They are read back from there.
+
+Scale: no shuffle of texts or tensors (the manifest, one row a file, is dealt over as many tasks); media are written once to the shared folder and read back by tasks that hold one batch
+cut by bytes; frames of one text are computed in pieces of PIECE frames. Results for a text depend on that text alone.
 
 Cases: null and empty texts are 64 zero bytes, one frame; columns other than doc_id and text are ignored; a null doc_id
 stays null; repeated rows give repeated equal results; an empty table gives no rows.
@@ -129,57 +132,102 @@ def write_media(docs: DataFrame) -> DataFrame:
 FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, shape array<int>, tensor binary, block_ms array<struct<start:int,end:int>>, segment_ms array<struct<start:int,end:int>>"
 
 
-def features(media: DataFrame) -> DataFrame:
-    """doc_id, digests of the stored bytes, tensor (float16, of shape blocks x BLOCK x MELS) and time spans in ms."""
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+NAMES = [x.split()[0] for x in FEATURES.replace("struct<start:int,end:int>", "").split(", ")]
+#: What a text's first block carries besides.
+META = (*NAMES[:6], "segment_ms")
+
+
+def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and FEATURES of doc_id, n_bytes, media."""
     ms = 1000 * HOP * DOWN / (RATE * UP)
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bank, window, taps = mel_bank(), np.hanning(FRAME).astype("f4"), low_pass(UP, DOWN)
-        span = lambda pairs: [{"start": round(a * ms), "end": round(b * ms)} for a, b in pairs]
-        for batch in slices(batches, "media"):
-            cols: list[list] = [[] for _ in range(9)]
-            for media in batch.column("media").to_pylist():
-                payload = samples_of(media)
-                mel, db = log_mel(resample((np.frombuffer(payload, "u1").astype("f4") - 128) / 128, taps=taps), bank, window)
-                blocks = -(-len(mel) // BLOCK)
-                tensor = np.full((blocks * BLOCK, MELS), np.log(FLOOR), "f2")
-                tensor[: len(mel)] = mel
-                mid = float(np.median(db))
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), [blocks, BLOCK, MELS], tensor.tobytes(), span((i * BLOCK, min(len(mel), (i + 1) * BLOCK)) for i in range(blocks)), span(hysteresis(db, mid + HIGH_DB, mid + LOW_DB)))
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.binary(), spans, spans)
-            names = [x.split()[0] for x in FEATURES.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
+    bank, window, taps = mel_bank(), np.hanning(FRAME).astype("f4"), low_pass(UP, DOWN)
+    span = lambda pairs: [{"start": round(a * ms), "end": round(b * ms)} for a, b in pairs]
+    for batch in slices(batches, "media"):
+        cols: list[list] = [[] for _ in range(9)]
+        for media in batch.column("media").to_pylist():
+            payload = samples_of(media)
+            mel, db = log_mel(resample((np.frombuffer(payload, "u1").astype("f4") - 128) / 128, taps=taps), bank, window)
+            blocks = -(-len(mel) // BLOCK)
+            tensor = np.full((blocks * BLOCK, MELS), np.log(FLOOR), "f2")
+            tensor[: len(mel)] = mel
+            mid = float(np.median(db))
+            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), [blocks, BLOCK, MELS], tensor.tobytes(), span((i * BLOCK, min(len(mel), (i + 1) * BLOCK)) for i in range(blocks)), span(hysteresis(db, mid + HIGH_DB, mid + LOW_DB)))
+            for c, v in zip(cols, row, strict=True):
+                c.append(v)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.binary(), SPANS, SPANS)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *NAMES])
+
 
+def features(media: DataFrame) -> DataFrame:
+    """doc_id, digests of the stored bytes, tensor (float16, of shape blocks x BLOCK x MELS) and time spans in ms."""
     return media.mapInArrow(compute, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
 
 
-def store_tensors(found: DataFrame, out: str | None = None) -> DataFrame:
-    """Writes Arrow IPC files, one for each task: doc_id, block, start_ms, end_ms and a fixed-shape tensor column; returns their paths."""
-    out = out or shared_dir(found.sparkSession)
+def store_tensors(media: DataFrame, out: str | None = None) -> DataFrame:
+    """Writes the Arrow files of the features of media under `out` (default: the shared folder); path, root and n_blocks of each."""
+    out = out or shared_dir(media.sparkSession)
+
+    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.array([x[0] for x in batch.column("shape").to_pylist()])
+        doc = np.repeat(np.arange(len(counts)), counts)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = pa.array(doc, mask=number > 0)
+        spans = batch.column("block_ms").flatten()
+        flat = pa.array(np.frombuffer(b"".join(batch.column("tensor").to_pylist()), "f2"))
+        tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float16(), (BLOCK, MELS)), pa.FixedSizeListArray.from_arrays(flat, BLOCK * MELS))
+        cols = {"doc_id": batch.column("doc_id").take(pa.array(doc)), **{c: batch.column(c).take(first) for c in META}}
+        cols |= {"block": pa.array(number, pa.int32()), "start_ms": spans.field("start"), "end_ms": spans.field("end"), "tensor": tensor}
+        return pa.record_batch(cols)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
         fs.create_dir(root, recursive=True)
-        path, kind = f"{root}/tensors-{uuid.uuid4().hex}.arrow", pa.fixed_shape_tensor(pa.float16(), (BLOCK, MELS))
-        schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("start_ms", pa.int32()), ("end_ms", pa.int32()), ("tensor", kind)])
-        rows = 0
-        with fs.open_output_stream(f"{path}.open") as f, pa.ipc.new_file(f, schema) as w:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    n, flat = r["shape"][0], pa.array(np.frombuffer(r["tensor"], "f2"))
-                    tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, BLOCK * MELS))
-                    w.write_batch(pa.record_batch([pa.array([r["doc_id"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([x["start"] for x in r["block_ms"]], pa.int32()), pa.array([x["end"] for x in r["block_ms"]], pa.int32()), tensor], schema=schema))
-                    rows += n
+        path, f, w, rows = f"{root}/tensors-{uuid.uuid4().hex}.arrow", None, None, 0
+        for batch in compute(batches):
+            part = blocks(batch)
+            if w is None:
+                f = fs.open_output_stream(f"{path}.open")
+                w = pa.ipc.new_file(f, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            w.write_batch(part)
+            rows += part.num_rows
+        if w is None:
+            return
+        w.close()
+        f.close()
         fs.move(f"{path}.open", path)
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rows], pa.int64())], ["path", "n_blocks"])
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([out]), pa.array([rows], pa.int64())], ["path", "root", "n_blocks"])
+
+    return materialize(media.mapInArrow(write, "path string, root string, n_blocks long"))
+
+
+def read_tensors(files: DataFrame, doc_id: str = "long") -> DataFrame:
+    """doc_id (of the given type) and FEATURES, from the rows of store_tensors."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, root in zip(batch.column("path").to_pylist(), batch.column("root").to_pylist(), strict=True):
+                fs, _ = pafs.FileSystem.from_uri(root)
+                with fs.open_input_file(path) as f, pa.ipc.open_file(f) as stored:
+                    for k in range(stored.num_record_batches):
+                        yield whole(stored.get_batch(k))
+
+    def whole(part: pa.RecordBatch) -> pa.RecordBatch:
+        first = np.flatnonzero(part.column("block").to_numpy() == 0)
+        ends = [*first[1:].tolist(), part.num_rows]
+        data, size = part.column("tensor").storage.flatten().to_numpy(zero_copy_only=False), BLOCK * MELS
+        spans = pa.StructArray.from_arrays([part.column("start_ms"), part.column("end_ms")], ["start", "end"])
+        at = pa.array(first)
+        cols = {"doc_id": part.column("doc_id").take(at), **{c: part.column(c).take(at) for c in META}}
+        cols["shape"] = pa.array([[e - b, BLOCK, MELS] for b, e in zip(first.tolist(), ends, strict=True)], pa.list_(pa.int32()))
+        cols["tensor"] = pa.array([data[b * size : e * size].tobytes() for b, e in zip(first.tolist(), ends, strict=True)], pa.binary())
+        cols["block_ms"] = pa.ListArray.from_arrays(pa.array([*first.tolist(), part.num_rows], pa.int32()), spans)
+        return pa.record_batch({c: cols[c] for c in ("doc_id", *NAMES)})
 
-    return materialize(found.select("doc_id", "shape", "tensor", "block_ms").mapInArrow(write, "path string, n_blocks long"))
+    return files.repartitionByRange(max(1, files.count()), "path").mapInArrow(read, f"doc_id {doc_id}, {FEATURES}")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Of features: the digest columns and `feature`, which names shape, segments and the tensor's hash."""
+    """Of features: the digest columns, `feature`, which names shape, segments and the tensor's hash, and the segments' time spans."""
     parts = F.concat_ws(":", F.array_join(F.col("shape").cast("array<string>"), "x"), F.size("segment_ms").cast("string"), F.aggregate("segment_ms", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("string"), F.sha2("tensor", 256))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", parts.alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", parts.alias("feature"), F.array_join(F.transform("segment_ms", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("segment_ms"))

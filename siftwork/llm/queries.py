@@ -20,7 +20,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest(audio.features(audio.write_media(table(spark, sf_dir, "documents"))))
+    return audio.digest(audio.read_tensors(audio.store_tensors(audio.write_media(table(spark, sf_dir, "documents")))))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

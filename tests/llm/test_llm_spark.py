@@ -213,21 +213,61 @@ def test_index_finds_what_is_there(spark):
 
 
 def test_audio_on_odd_rows(odd, none, tmp_path):
-    found = audio.features(audio.write_media(odd))
-    out = rows(audio.digest(found))
+    media = audio.write_media(odd)
+    files = audio.store_tensors(media, f"file://{tmp_path}/t")
+    out = rows(audio.digest(audio.read_tensors(files)))
     assert len(out) == odd.count()
+    assert sorted(map(str, out)) == sorted(map(str, rows(audio.digest(audio.features(media)))))
     by = {}
     for r in out:
         key = r.pop("doc_id"), r["payload_sha256"]
         assert by.setdefault(key[1], r) == r
     empty = next(r for r in out if r["n_bytes"] == 0)
     assert empty["payload_bytes"] == 64 and empty["payload_sha256"] == hashlib.sha256(bytes(64)).hexdigest() and empty["tail_crc32"] == zlib.crc32(bytes(64))
-    assert rows(audio.digest(audio.features(audio.write_media(none)))) == []
+    assert rows(audio.digest(audio.read_tensors(audio.store_tensors(audio.write_media(none))))) == []
     import pyarrow as pa
 
-    files = rows(audio.store_tensors(found, f"file://{tmp_path}/t"))
-    t = pa.ipc.open_file(next(f["path"] for f in files if f["n_blocks"])).read_all()
-    assert t.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float16(), (audio.BLOCK, audio.MELS))
+    with pa.ipc.open_file(rows(files)[0]["path"]) as f:
+        t = f.read_all()
+    assert t.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float16(), (audio.BLOCK, audio.MELS)) and {"block", "start_ms", "end_ms"} <= {*t.column_names}
+
+
+def test_stored_features_equal_a_plain_computation(spark):
+    """Filter at the high rate, drop samples, one DFT a frame, triangles one by one, thresholds in a loop."""
+    texts = ["", "short", "the quick brown fox " * 90, "\u0000\uffff é" * 700, "ab" * 3000 + "~" * 4000 + "!" * 2000]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in rows(audio.read_tensors(audio.store_tensors(audio.write_media(d))))}
+    h = audio.low_pass(3, 4).astype("f8")
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(0, mel(6000), audio.MELS + 2) / 2595) - 1)
+    f = np.arange(257) * 12000 / 512
+    bank = np.array([[max(0.0, min((x - a) / (b - a), (c - x) / (c - b))) for a, b, c in zip(edges, edges[1:], edges[2:], strict=False)] for x in f])
+    for i, text in enumerate(texts):
+        data = text.encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        x = (np.frombuffer(payload, "u1").astype("f8") - 128) / 128
+        up = np.zeros(3 * len(x))
+        up[::3] = x
+        y = np.convolve(up, h)[len(h) // 2 :][: 3 * len(x) : 4]
+        n = 1 + max(0, -(-(len(y) - 400) // 160))
+        y = np.append(y, np.zeros(n * 160 + 400))
+        window, got, db = np.hanning(400), [], []
+        for k in range(n):
+            part = y[k * 160 : k * 160 + 400] * window
+            got.append(np.log(np.abs(np.fft.fft(part, 512)[:257]) ** 2 @ bank + 1e-6))
+            db.append(10 * np.log10((part**2).mean() + 1e-6))
+        blocks = -(-n // 16)
+        tensor = np.frombuffer(out[i]["tensor"], "f2").reshape(blocks * 16, 32)
+        assert out[i]["shape"] == [blocks, 16, 32] and np.allclose(tensor[:n], got, atol=0.03) and np.all(tensor[n:] == np.float16(np.log(1e-6)))
+        on, segments, mid = False, [], np.median(db)
+        for k, v in enumerate(db):
+            now = True if v > mid + audio.HIGH_DB else False if v < mid + audio.LOW_DB else on
+            if now != on:
+                segments = [*segments, [k, n]] if now else [*segments[:-1], [segments[-1][0], k]]
+            on = now
+        ms = 1000 * 160 / 12000
+        assert [(s["start"], s["end"]) for s in out[i]["segment_ms"]] == [(round(a * ms), round(b * ms)) for a, b in segments]
+        assert [(s["start"], s["end"]) for s in out[i]["block_ms"]] == [(round(k * 16 * ms), round(min(n, k * 16 + 16) * ms)) for k in range(blocks)]
 
 
 # ---- pieces ----
