@@ -4,9 +4,10 @@ Every document of a source, in an order shuffled by a digest of its id, gets a v
 source has offered up to its end, divided by the source's target. Documents sorted by that time interleave the sources
 in proportion to their targets; the mix is the sorted sequence up to the total budget.
 
-Scale: running sums never gather a source. A source's order is cut into slots by the leading digest digits; slot sums
-(map-side combined) are summed over the slots, and a window runs only inside one (source, slot). The sorted sequence is
-cut in the same way: sums for each time slot find the slot that the budget ends in, and only that slot is sorted.
+Scale: running sums never gather a source. Rows without their texts are range-sorted by source and digest; sums for each
+(range, source), map-side combined, are summed over the ranges, and a window runs only inside one (range, source). The copies are
+range-sorted by finish time in the same way: sums for each range find the range that the budget ends in, and only
+that one is looked into. The number of ranges follows that of the rows, RANGE_ROWS in each at most.
 
 Cases: null or empty text has size 0 and is never taken; a null source is one source, the last; documents that repeat
 (equal ids and texts) are ordered by id, text digest and a running number, so each counts; without words nothing is
@@ -23,10 +24,8 @@ from siftwork.llm.common import WORD, materialize
 
 #: Weights of the sources in code-point order, repeating; null is last.
 WEIGHTS = (3, 1, 2)
-#: Digest digits (hexadecimal) that make a slot of a source: 4096 slots.
-SLOT_DIGITS = 3
-#: Slots of virtual time between 0 and 2.
-TIME_SLOTS = 4096
+#: About the most rows of a range.
+RANGE_ROWS = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -54,8 +53,11 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     return ranked.crossJoin(F.broadcast(chosen)).select("source", "source_size", "weight", F.least(cap, F.coalesce(F.col("level") * F.col("weight"), cap)).alias("target"))
 
 
-def time_slot(finish: Column) -> Column:
-    return F.floor(F.least(finish, F.lit(2.0)) * (TIME_SLOTS // 2))
+def ranged(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows sorted into ranges of keys, with the number of its range in column part; equal keys are in one range."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    return materialize(rows.repartitionByRange(n, *keys).withColumn("part", F.spark_partition_id()))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -64,30 +66,30 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     A source whose target passes its size offers its documents again, in the same order, up to `most` times.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h"), F.md5(F.coalesce("text", F.lit(""))).alias("t"))
-    rows = materialize(rows)  # the only pass over the texts
-    rows = rows.withColumn("slot", F.substring("h", 1, SLOT_DIGITS))
-    slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
-    plan = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), share, most)
-    before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 16 ** SLOT_DIGITS rows for each source
-    bases = slots.withColumn("base", F.coalesce(F.sum("slot_size").over(before), F.lit(0)))
-    bases = bases.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "slot", "base", "p.source_size", "p.target")
-    inside = Window.partitionBy("source", "slot").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).alias("r").join(bases.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.slot") == F.col("b.slot")))
+    rows = ranged(materialize(rows), "source", "h", "doc_id", "t")  # the texts are read once, before
+    sums = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    plan = targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), share, most)
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range that a source has rows in
+    bases = sums.withColumn("base", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
+    bases = bases.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select("s.source", "part", "base", "p.source_size", "p.target")
+    inside = Window.partitionBy("source", "part").orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("upto", F.sum("size").over(inside)).alias("r").join(bases.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.part") == F.col("b.part")))
     placed = placed.select("doc_id", "r.source", "size", "source_size", "target", "h", "t", (F.col("base") + F.col("upto")).alias("upto"))
     # the finish of each copy, and the words that it adds when it is within the budget
     offers = placed.withColumn("finish", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.when(F.col("target") > 0, (F.col("upto") + k * F.col("source_size")) / F.col("target"))))
-    copies = offers.where("size > 0").select("size", F.explode("finish").alias("finish"))
-    timed = copies.withColumn("at", time_slot(F.col("finish")))
-    sums = timed.groupBy("at").agg(F.sum("size").alias("words"))  # at most TIME_SLOTS + 1 rows
-    run = sums.withColumn("upto", F.sum("words").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    budget = F.lit(share) * F.sum("words").over(Window.partitionBy()) / F.lit(most)
-    cut = run.withColumn("budget", budget).where("upto > budget").agg(F.min("at").alias("cut_at"), F.min(F.struct("at", (F.col("budget") - (F.col("upto") - F.col("words"))).alias("left")))["left"].alias("left"))
-    edge = timed.join(F.broadcast(cut), timed["at"] == cut["cut_at"]).groupBy("finish", "left").agg(F.sum("size").alias("words"))
-    last = edge.withColumn("upto", F.sum("words").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0))).where("upto <= left").agg(F.max("finish").alias("last"))
-    limit = cut.select("cut_at").crossJoin(last)  # one row
-    mixed = offers.crossJoin(F.broadcast(limit))
-    within = lambda f: F.coalesce(time_slot(f) < F.col("cut_at"), F.lit(True)) | F.coalesce(f <= F.col("last"), F.lit(False))
+    offers = materialize(offers)
+    copies = ranged(offers.where("size > 0").select("size", F.explode("finish").alias("finish")), "finish")
+    sums = copies.groupBy("part").agg(F.sum("size").alias("words"), F.max("finish").alias("top"))  # one row for each range
+    run = sums.withColumn("upto", F.sum("words").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("budget", F.lit(share) * F.sum("words").over(Window.partitionBy()) / F.lit(most))
+    full = run.where("upto <= budget").agg(F.max("top").alias("top"))
+    cut = run.where("upto > budget").agg(F.min("part").alias("cut"), F.min_by(F.col("budget") - (F.col("upto") - F.col("words")), "part").alias("left"))
+    edge = copies.join(F.broadcast(cut), copies["part"] == cut["cut"]).groupBy("finish", "left").agg(F.sum("size").alias("words"))
+    edge = edge.withColumn("upto", F.sum("words").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0))).where("upto <= left").agg(F.max("finish").alias("edge"))
+    last = full.crossJoin(edge).select(F.coalesce("edge", "top").alias("last"))  # one row: times in the edge are later than any in full ranges
+    mixed = offers.crossJoin(F.broadcast(last))
+    within = lambda f: F.coalesce(f <= F.col("last"), F.lit(False))
     n = F.when((F.col("size") > 0) & (F.col("target") > 0), F.size(F.filter("finish", within))).otherwise(0)
     return mixed.select("doc_id", "t", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
 
