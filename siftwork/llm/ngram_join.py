@@ -1,25 +1,27 @@
 """Exact n-gram Jaccard join of documents, with set-relation skipping.
 
-A document's set holds the hashes (64 bits) of its distinct five-word shingles. Equal sets are one node, named by a hash.
-Two sets of sizes a and b link when 7 * overlap >= 3 * (a + b), which is a Jaccard similarity of 0.75 or more.
+A document's set holds the hashes (64 bits) of its distinct five-word shingles. Equal sets are one node; sets are told apart by
+hashes of 128 bits. Two sets of sizes a and b link when 7 * overlap >= 3 * (a + b), which is a Jaccard similarity of 0.75 or more.
 
 1. Order. All shingles are counted in a sketch of BUCKETS counters; each set is sorted by (counter, hash), rare first. Any
    fixed order is right; this one keeps common passages out of the prefixes.
 2. Index. The first n - ceil(3 n / 4) + 1 shingles of a set go to the lists of the index with set size and position; two
-   sets that link share a list. Entries without another of a size that can link in their list are dropped.
-3. Answers by relation. In long lists some leaders are compared with all; what links with one becomes one component, and
-   a pair inside a component needs no comparison, as its answer follows from that of the leader. In the next round
-   leaders come from the largest component of a list, and only sets outside it are compared. Lists of one component are done.
+   sets that link share a list. Entries without another of a size that can link in their list are dropped, but for lists that
+   the sketch shows to be very long: these are taken as they are, so none is sorted in one task.
+3. Answers by relation. In long lists some leaders are compared with all. What links with one becomes one component, and a pair
+   inside a component needs no comparison. The overlaps o and p of two sets with one leader of size l bound their own: at least
+   o + p - l, and at most min(o, p) + min(a - o, b - p); pairs that these bounds decide are not compared either. In
+   the next round leaders come from the largest component of a list, and only sets outside it are compared.
 4. Block skipping. What is left of long lists is cut into blocks by size; a pair of blocks is skipped if sizes or the
    positions of its entries (of a shared shingle at positions i and j, no more than the lesser can be shared before it, nor
    than the shorter rest from it) rule out enough overlap; entries of the others are tested alike, and by component.
 5. Pairs are counted over their lists. All that two sets share up to where the first of their prefixes ends is in that
    count, so it bounds the overlap; pairs left are compared on their whole sets, links make components.
 
-Scale: two passes over the texts (sizes and names, lists) without moving texts, and for each round of comparisons one that
-reads the sets of the nodes in its pairs; the shuffles are the prefixes, a quarter of the shingles, once, and those sets.
-Copies of a text cost one node in each task. Long lists are never gathered: their counts and leaders are grouped aggregates,
-blocks hold about BLOCK entries.
+Scale: two passes over the texts (sizes and names, prefixes) without moving texts, and for each round of comparisons one that
+reads the sets of the nodes in its pairs; the shuffles are the prefixes, a quarter of the shingles, once by set and once by
+shingle, and those sets. Copies of a text cost one node in each task. Long lists are never gathered: their counts and leaders
+are grouped aggregates, blocks hold about BLOCK nodes, and what is counted together about GROUP entries.
 
 Cases: null and empty texts, or white space alone: no set, no link, own component; fewer than five words: the sequence
 is the one shingle; rows that repeat a doc_id count as one document; a null doc_id takes the component of an equal or
@@ -28,6 +30,7 @@ linked set, or null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwork.llm.common import components, kept, materialize, slices
+from siftwork.llm.common import WORD, components, kept, materialize, slices
 
 SHINGLE = 5
 BUCKETS = 1 << 20
@@ -46,8 +49,10 @@ BLOCK = 128
 #: Lists with more entries than this get leaders: in a first round one, then more, up to as many. Rounds end when what is
 #: left to compare is about as long as the lists, or at the last; they save comparisons and decide nothing.
 LONG, LEADERS, ROUNDS = 12, 16, 3
-#: About the most lists of a node that are counted together.
-TOGETHER = 4096
+#: About the most lists of a node, and entries of blocks, that are counted together.
+TOGETHER, GROUP = 4096, 1 << 16
+#: Lists of shingles that have so many more than the mean count are not sorted.
+HOT = 1 << 15
 #: Most bits of a filter of document ids.
 FILTER_BITS = 1 << 27
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -103,33 +108,41 @@ class Shingles:
         return out
 
 
-def node_of(s: np.ndarray) -> int:
+def name_of(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return kept(("shingles",), Shingles).sets(batch.column("text").to_pylist())
 
 
-def sizes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) of every row (node null without a set), and the sketch of all shingles."""
+def row_key(docs: DataFrame) -> Column:
+    """A digest of a row's doc_id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"].cast("string"), F.lit(""))))
+
+
+def sizes(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, key, n_shingles, h1, h2) of every row (name null without a set, key null unless asked for), and the sketch of all shingles."""
+    names = ["doc_id", "key", "n_shingles", "h1", "h2", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, some = np.zeros(BUCKETS, np.uint32), False
-        names = ["doc_id", "n_shingles", "node", "part", "counts"]
         for batch in slices(batches, "text"):
             sets = _sets(batch)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             sketch += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
             some = True
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+            n, named = len(sets), [name_of(s) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in named], pa.int64()) for k in (0, 1)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
         if some:
             parts = range(0, BUCKETS, PART)
             z = [zlib.compress(sketch[a : a + PART].tobytes(), 1) for a in parts]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(z), pa.int64()), pa.nulls(len(z), pa.int64()), pa.nulls(len(z), pa.int64()), pa.array([*parts], pa.int64()), pa.array(z, pa.binary())], names)
+            none = [pa.nulls(len(z), t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([*parts], pa.int64()), pa.array(z, pa.binary())], names)
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(PART, np.uint64)
@@ -137,11 +150,13 @@ def sizes(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(zlib.decompress(z.as_py()), np.uint32)
         return pa.table({"part": t.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    both = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, part long, counts binary"))
+    key = row_key(docs) if keyed else F.lit(None).cast("string")
+    used = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("text").cast("string").alias("text"))
+    both = materialize(used.mapInArrow(run, "doc_id long, key string, n_shingles long, h1 long, h2 long, part long, counts binary"))
     sketch = np.zeros(BUCKETS, np.uint64)
     for r in both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part long, counts binary").collect():  # BUCKETS counters
         sketch[r["part"] : r["part"] + PART] = np.frombuffer(r["counts"], np.uint64)
-    return both.where("part is null").select("doc_id", "n_shingles", "node"), np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32)
+    return both.where("part is null").select("doc_id", "key", "n_shingles", "h1", "h2"), np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32)
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -151,27 +166,42 @@ def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, count))[:length]]
 
 
-def lists(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """Index lists with more than one node: token, node, n, pos."""
+def nodes_of(docs: DataFrame, base: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(node, h1, h2, n, id, unnamed, tokens, hot): each set once, with its least doc_id, whether a row of it has none, its prefix, and the
+    positions in it of shingles whose counters stand out."""
+    mean = float(sketch.mean())
+    hot_from = mean + 16 * mean**0.5 + HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in slices(batches, "text"):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            rows = []
             for s in _sets(batch):
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
+                if len(s) and (name := name_of(s)) not in seen:
+                    seen.add(name)
                     p = prefix(s, sketch)
-                    for c, v in zip(cols, (p.view(np.int64), np.full(len(p), node), np.full(len(p), len(s), np.int32), np.arange(len(p), dtype=np.int32)), strict=True):
-                        c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "node", "n", "pos"])
+                    rows.append((*name, p.view(np.int64), np.flatnonzero(sketch[(p >> np.uint64(44)).astype(np.int64)] > hot_from).astype(np.int32)))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["h1", "h2", "tokens", "hot"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, tokens array<long>, hot array<int>")
+    found = found.groupBy("h1", "h2").agg(F.any_value("tokens").alias("tokens"), F.any_value("hot").alias("hot"))
+    named = base.where("h1 is not null").groupBy("h1", "h2").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    return materialize(named.join(found, ["h1", "h2"]).withColumns({"node": F.monotonically_increasing_id(), "n": F.col("n").cast("int")}), "lz4")
+
+
+def lists(nodes: DataFrame) -> DataFrame:
+    """Index lists with more than one node: token, node, n, pos."""
+    def entries(some: DataFrame) -> DataFrame:
+        return some.select("node", "n", "hot", F.posexplode("tokens").alias("pos", "token"))
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, node long, n int, pos int")
     by_size = Window.partitionBy("token").orderBy("n", "node")
-    rows = rows.withColumn("same", F.lag("node").over(by_size)).where("same is null or same <> node")
-    rows = rows.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
-    return materialize(rows.where("4L * less >= 3L * n or 4L * n >= 3L * more").select("token", "node", "n", "pos"))
+    cold = entries(nodes).where(~F.array_contains("hot", F.col("pos"))).select("token", "node", "n", "pos")
+    cold = cold.withColumns({"less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    cold = cold.where("4L * less >= 3L * n or 4L * n >= 3L * more").select("token", "node", "n", "pos")
+    hot = entries(nodes.where(F.size("hot") > 0)).where(F.array_contains("hot", F.col("pos"))).select("token", "node", "n", "pos")
+    return materialize(cold.unionByName(hot))
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -189,18 +219,17 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return field
 
 
-def wanted_sets(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, s): the sets of nodes (column node), s as bytes of sorted hashes; read from one document of each node.
+def wanted_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, s): the sets of wanted nodes (column node), s as bytes of sorted hashes; read from one document of each node.
 
     A filter of these documents' ids goes to the tasks, so a task takes apart few other texts.
     """
-    first = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    first = materialize(first.join(nodes, "node", "left_semi"))
+    first = materialize(nodes.select("node", "h1", "h2", "id", "unnamed").join(wanted, "node", "left_semi"))
     field, unnamed = bitmap(first.where("id is not null").select("id")), bool(first.agg(F.max("unnamed")).first()[0])
     bits = 8 * len(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("doc_id")
             spot = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
@@ -208,32 +237,43 @@ def wanted_sets(docs: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame
             for part in slices(iter([batch.filter(pa.array(hit))]), "text"):
                 rows = []
                 for s in _sets(part):
-                    if len(s) and (node := node_of(s)) not in seen:
-                        seen.add(node)
-                        rows.append((node, s.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "s"])
+                    if len(s) and (name := name_of(s)) not in seen:
+                        seen.add(name)
+                        rows.append((*name, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h1", "h2", "s"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, s binary")
-    found = found.join(first.select("node"), "node", "left_semi")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, s binary")
+    found = found.join(first.select("node", "h1", "h2"), ["h1", "h2"])
     return materialize(found.groupBy("node").agg(F.any_value("s").alias("s")), "lz4")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, m, o) of pairs (a, b): sizes and overlap of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, keep = batch.column("s"), batch.column("t"), []
+            a, b, out = batch.column("s"), batch.column("t"), []
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
+                n, m = len(x), len(y)
+                if n > m:
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(7 * int((y[at] == x).sum()) >= 3 * (len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                out.append((n, m, int((y[at] == x).sum())))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3))], ["a", "b", "n", "m", "o"])
 
     full = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    return materialize(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"))
+    return materialize(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, n long, m long, o long"))
+
+
+def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """pairs (a, b, n, m) with the bounds least and most of their overlap, from overlaps with common sets in answers (node, size, lead, l, o)."""
+    one = answers.select(F.col("node").alias("a"), "lead", "l", "o")
+    two = answers.select(F.col("node").alias("b"), F.col("lead"), F.col("o").alias("p"))
+    met = pairs.join(one, "a").join(two, ["b", "lead"])
+    upper = F.least("o", "p") + F.least(F.col("n") - F.col("o"), F.col("m") - F.col("p"))
+    bounds = met.groupBy("a", "b").agg(F.max(F.col("o") + F.col("p") - F.col("l")).alias("least"), F.min(upper).alias("most"))
+    return pairs.join(bounds, ["a", "b"], "left")
 
 
 def able(n: Column, m: Column, i: Column, j: Column) -> Column:
@@ -242,13 +282,13 @@ def able(n: Column, m: Column, i: Column, j: Column) -> Column:
 
 
 def counted(pairs: DataFrame) -> DataFrame:
-    """Of (a, b, n, m, c, first): the pairs (a, b) whose shared prefix shingles c, with what may follow them, are enough to link.
+    """Of (a, b, n, m, c, first): the pairs (a, b, n, m) whose shared prefix shingles c, with what may follow them, are enough to link.
 
     first: may one of these shingles be the first that they share?
     """
     after = lambda n: F.floor((3 * n + 3) / 4) - 1  # noqa: E731  what a set has behind its prefix
     sums = pairs.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"), F.max("first").alias("first"))
-    return sums.where(F.col("first") & (7 * (F.col("c") + F.greatest(after(F.col("n")), after(F.col("m")))) >= 3 * (F.col("n") + F.col("m")))).select("a", "b")
+    return sums.where(F.col("first") & (7 * (F.col("c") + F.greatest(after(F.col("n")), after(F.col("m")))) >= 3 * (F.col("n") + F.col("m")))).select("a", "b", "n", "m")
 
 
 def short_pairs(rows: DataFrame) -> DataFrame:
@@ -270,15 +310,15 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     binned = rows.withColumn("bin", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
     top = binned.groupBy("token").agg(F.min(F.struct(-F.col("size"), "comp"))["comp"].alias("lead"))
     top = materialize(top)
-    nodes = binned.join(top, "token").select("lead", "node", "n").distinct().groupBy("lead").agg(F.count("*").alias("nodes"), F.max("n").alias("most"))
+    nodes = binned.join(top, "token").groupBy("lead", "node", "n").agg(F.count("*").alias("k")).groupBy("lead").agg(F.count("*").alias("nodes"), F.max("n").alias("most"), F.sum("k").alias("entries"))
     level = F.pow(2, F.ceil(F.log2(F.greatest(F.col("nodes") / BLOCK, F.lit(1))))).cast("int")
-    lists = materialize(top.join(nodes.select("lead", level.alias("level"), F.ceil(F.col("most") / (4 * TOGETHER)).alias("chunks")), "lead"))
+    lists = materialize(top.join(nodes.select("lead", level.alias("level"), F.greatest(F.ceil(F.col("most") / (4 * TOGETHER)), F.ceil(2 * F.col("entries") / (level * GROUP))).alias("chunks")), "lead"))
     cut = binned.join(lists, "token")
     cut = cut.withColumns({"sub": F.pmod(F.hash("node"), F.col("level")), "chunk": F.pmod("token", F.col("chunks"))})
     blocks = cut.groupBy("token", "lead", "chunk", "level", "bin", "sub").agg(F.min("n").alias("small"), F.max("pos").alias("far"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.collect_list(F.struct("node", "n", "pos", "comp", "k")).alias("rows"))
     blocks = materialize(blocks)
-    left, right = blocks.alias("l"), blocks.alias("r")
-    near = (F.col("l.token") == F.col("r.token")) & F.col("r.bin").between(F.col("l.bin"), F.col("l.bin") + 1) & ((F.col("r.bin") > F.col("l.bin")) | (F.col("r.sub") >= F.col("l.sub")))
+    left, right = blocks.withColumn("to", F.explode(F.array("bin", F.col("bin") + 1))).alias("l"), blocks.alias("r")
+    near = (F.col("l.token") == F.col("r.token")) & (F.col("r.bin") == F.col("l.to")) & ((F.col("r.bin") > F.col("l.bin")) | (F.col("r.sub") >= F.col("l.sub")))
     enough = 7 * (F.least("l.far", "r.far").cast("long") + F.least("l.rest", "r.rest")) >= 3 * (F.col("l.small").cast("long") + F.col("r.small"))
     key = ["lead", "chunk", "level", "bin", "sub", "bin2", "sub2"]
     met = left.join(right, near & enough).select("l.lead", "l.chunk", "l.level", "l.bin", "l.sub", F.col("r.bin").alias("bin2"), F.col("r.sub").alias("sub2"), F.col("l.rows").alias("x"), F.col("r.rows").alias("y"))
@@ -341,20 +381,36 @@ def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(comp, rows["node"] == comp["id"], "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
-    base, sketch = sizes(docs)
-    found = lists(docs, sketch)
-    links = comp = None
+def labelled(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """(doc_id, key, n_shingles, comp, component_id) of every row; comp numbers the components and is null without a set."""
+    base, sketch = sizes(docs, keyed)
+    nodes = nodes_of(docs, base, sketch)
+    found = lists(nodes)
+    links = comp = answers = None
 
     def compare(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
-        pairs = materialize(counted(pairs))
+        nonlocal answers
+        pairs = counted(pairs)
+        pairs = materialize(pairs if answers is None else derived(pairs, answers))
         if pairs.isEmpty():
             return links
-        if sets is None:
-            sets = wanted_sets(docs, base, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        new = linked(pairs, sets)
-        return new if links is None else links.unionByName(new)
+        both = 3 * (F.col("n") + F.col("m"))
+        new, left = None, pairs
+        if answers is not None:
+            new = pairs.where(7 * F.col("least") >= both).select("a", "b")
+            left = pairs.where(F.col("least").isNull() | ((7 * F.col("least") < both) & (7 * F.col("most") >= both)))
+        left = left.select("a", "b")
+        last = sets is None
+        if last:
+            sets = wanted_sets(docs, nodes, left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
+        got = overlaps(left, sets)
+        if not last:
+            more = got.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("m").alias("l"), "o")
+            answers = more if answers is None else answers.unionByName(more)
+        got = got.where(7 * F.col("o") >= both).select("a", "b")
+        for other in (new, links):
+            got = got if other is None else got.unionByName(other)
+        return got
 
     if not found.isEmpty():
         long = found.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > LONG)
@@ -369,7 +425,7 @@ def join_components(docs: DataFrame) -> DataFrame:
             if pairs <= 2 * entries:
                 break
             if sets is None:
-                sets = wanted_sets(docs, base, long.select("node").distinct())
+                sets = wanted_sets(docs, nodes, long.select("node").distinct())
             size = rows.select("node", "comp").distinct().groupBy("comp").agg(F.count("*").alias("size"))
             new = compare(lead_pairs(rows.join(size, "comp"), turn), sets)
             if new is not links:
@@ -381,21 +437,34 @@ def join_components(docs: DataFrame) -> DataFrame:
         of_node = of_node.join(of_node.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("node", "k", "size")
         pairs = short_pairs(rows.where(F.col("c") <= LONG)).unionByName(block_pairs(rows.where(F.col("c") > LONG).drop("c").join(of_node, "node")))
         links = compare(pairs)
-    label = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    label = nodes.select("node", "h1", "h2", "id")
     if links is not None:
-        merged = components(links)
-        label = label.join(merged, label["node"] == merged["id"], "left").select("node", "doc", F.coalesce("component", "node").alias("comp"))
+        merged = components(links).withColumnRenamed("id", "member")
+        label = label.join(merged, label["node"] == merged["member"], "left").select("h1", "h2", "id", F.coalesce("component", "node").alias("comp"))
         label = materialize(label)
-        least = label.groupBy("comp").agg(F.min("doc").alias("component_id"))
-        label = label.join(least, "comp").select("node", "component_id")
+        label = label.join(label.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("h1", "h2", "comp", "component_id")
     else:
-        label = label.withColumnRenamed("doc", "component_id")
-    out = base.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out
+        label = label.select("h1", "h2", F.col("node").alias("comp"), F.col("id").alias("component_id"))
+    return base.join(label, ["h1", "h2"], "left").select("doc_id", "key", "n_shingles", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a lesser doc_id; of rows that repeat a doc_id one stays."""
-    keep = join_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept_rows = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi")
-    return kept_rows.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component, that with the least doc_id (null last) and then the least digest of its text.
+
+    Rows without a set are in no component and stay. Rows that repeat both doc_id and text are one document: one of them stays,
+    but for rows without doc_id and set, which can't be told to be the same.
+    """
+    rows = materialize(labelled(docs, keyed=True))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    keep = rows.where("comp is not null").groupBy("comp").agg(least.alias("key")).select("key")
+    keep = keep.unionByName(rows.where("comp is null and doc_id is not null").select("key").distinct())
+    mark = f"key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(mark, row_key(docs))
+    stay = keyed.join(keep.withColumnRenamed("key", mark), mark, "left_semi").dropDuplicates([mark])
+    loose = docs["doc_id"].isNull() & ~F.coalesce(docs["text"].cast("string").rlike(WORD), F.lit(False))
+    return stay.select(*docs.columns).unionByName(docs.where(loose))

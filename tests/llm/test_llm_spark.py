@@ -125,8 +125,10 @@ def near_copies(seed, n=140):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("long", [2, 12])
-def test_join_equals_brute_force(spark, monkeypatch, seed, long):
+@pytest.mark.parametrize("long,hot", [(2, 1 << 15), (2, 3), (12, 1 << 15)])
+def test_join_equals_brute_force(spark, monkeypatch, seed, long, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "GROUP", 64)
     monkeypatch.setattr(ngram_join, "LONG", long)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     texts = near_copies(seed)
@@ -143,6 +145,26 @@ def test_join_on_odd_rows(odd, none):
     assert rows(ngram_join.join_components(none)) == []
     kept = rows(ngram_join.one_of_each(odd))
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    assert sum(r["doc_id"] is None for r in kept) == 1 and rows(ngram_join.one_of_each(none)) == []
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    base = "the same ten words stand in this text and one more"
+    other = "a wholly different text of more than five words is here"
+    data = [(1, base, "a"), (1, other, "b"), (2, base, "c"), (None, base, "d"), (None, "null ids alone make one group of equal texts here", "e"), (None, "null ids alone make one group of equal texts here", "f"), (7, other, "g"), (7, other, "h"), (8, None, "i"), (None, None, "j"), (None, " ", "k")]
+    d = spark.createDataFrame(data, "doc_id long, text string, key string")
+    out = sorted((str(r["doc_id"]), r["text"]) for r in rows(ngram_join.one_of_each(d)) if r["text"] and r["text"].strip())
+    assert out == [("1", other), ("1", base), ("None", data[4][1])] or out == sorted([("1", base), ("1", other), ("None", data[4][1])])
+    assert sorted(r["key"] for r in rows(ngram_join.one_of_each(d)) if not (r["text"] or "").strip()) == ["i", "j", "k"]
+
+
+def test_bounds_from_a_common_set_hold(spark):
+    r = random.Random(1)
+    sets = [{r.randrange(30) for _ in range(r.randint(5, 25))} for _ in range(12)]
+    pairs = [(i, j, len(sets[i]), len(sets[j])) for i in range(12) for j in range(i)]
+    answers = [(i, k, len(sets[k]), len(sets[i] & sets[k])) for i in range(12) for k in range(3)]
+    out = rows(ngram_join.derived(spark.createDataFrame(pairs, "a long, b long, n long, m long"), spark.createDataFrame(answers, "node long, lead long, l long, o long")))
+    assert len(out) == len(pairs) and all(x["least"] <= len(sets[x["a"]] & sets[x["b"]]) <= x["most"] for x in out)
 
 
 # ---- token files ----
