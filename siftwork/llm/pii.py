@@ -100,6 +100,19 @@ A 12 digit code 123456789012 and 42 more.
 Is it 1 , 2 or 3 ? Nobody at home knows.
 Item 555 of list 0142 has size 998 at most.
 The file data_2020_final.tar.gz has 3 parts named a1b2 and c3d4.
+Rivers bend slowly around grey hills while farmers gather late apples before winter.
+Nobody expected such heavy snow, yet children laughed and built tall white towers.
+Music drifted over narrow streets; lamps glowed, doors closed, voices faded softly.
+Engineers measured bridges twice because earlier drawings contained several mistakes.
+Bread, cheese and olives were served beside cold water during our long journey north.
+Scientists publish careful results, others repeat them, so knowledge grows steadily.
+Her brother painted old boats blue; their uncle preferred green, however, never red.
+Most birds leave these islands in autumn, returning when warm winds blow again.
+An honest judge listens first, then asks questions, and only later decides anything.
+Small towns often keep markets open until dusk. Larger cities hardly ever sleep.
+Wow!!! What### lovely*** colours&&& shine%%% tonight$$$ above~~~ quiet@@@ gardens???
+Grüße aus München, où l'été commence déjà; mañana será otro día.
+Every *second* student (or teacher) reads/writes poems - "quietly" - at night...
 Room b12, gate A7 and the x86 box = one of many "quoted" words.
 """.strip().splitlines()
 
@@ -169,9 +182,9 @@ def digest_of(name: str) -> int:
 
 
 def signs(word: str) -> str:
-    """All that the features of a word besides its identity depend on: its shape, and the power of two of its length."""
+    """All that the features of a word besides its identity depend on: its shape and, if digits are in it, the power of two of its length."""
     s = shape(word)
-    return f"{len(word).bit_length()} {s}"
+    return f"{len(word).bit_length() if 'd' in s or 'D' in s else 0} {s}"
 
 
 def features(key: str, word: str) -> list[int]:
@@ -223,7 +236,7 @@ def _illegal() -> np.ndarray:
     return bad
 
 
-def train(lines: list[str] = TRAINING, epochs: int = 160, rate: float = 0.08, decay: float = 2e-3) -> Field:
+def train(lines: list[str] = TRAINING, epochs: int = 160, rate: float = 0.08, decay: float = 5e-4) -> Field:
     """Maximum likelihood by Adam; forward and backward passes over all lines at once. Same lines, same weights."""
     k, table = len(LABELS), [parse_marked(x) for x in lines]
     n, t = len(table), max(len(w) for w, _ in table)
@@ -292,7 +305,7 @@ class Decoder:
             plain = plain_word(w)
             if digest_of("w" + plain) not in known:
                 plain = ""
-            key = (f"{len(w).bit_length()} x" if w.islower() and w.isalpha() else signs(w), plain)
+            key = ("0 x" if w.islower() and w.isalpha() else signs(w), plain)
             if (row := keys.get(key)) is None:
                 row = keys[key] = len(keys)
                 if row == len(self.table):
@@ -315,28 +328,24 @@ class Decoder:
     def certain(self, e: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Words that every best path labels O.
 
-        A word is plain if O leads all other labels by more than one move can give back. Across plain words whose leads
-        sum to more than `most`, which bounds what all moves at both ends and one changed label can cost, a path with
-        no O loses to one with O; between two such O, plain words are O. So a word with such stretches on both sides is O,
-        and paths on either side of it don't depend on each other.
+        A run of words with other labels gains over O at most what its words gain each at best, with the best legal move between
+        them, the best one into it and the best one out of it. A word that stands only in runs whose bound is below 0 (the best run
+        around it is the best one that ends at it and the best one that begins at it) is O, as O in place of the run would be
+        better; so paths on either side of it don't depend on each other.
         """
-        move = self.field.move
-        legal = move[move > -1e3]
-        step = float(legal.max() - move[0, 0])
-        lead = e[:, 0] - e[:, 1:].max(1) - step
-        most = 3 * float(legal.max() - legal.min()) + float(e.max() - e.min()) + step
-        plain = lead > step + 1e-3
-        cut = np.flatnonzero(~plain)
-        start = np.zeros(len(e), bool)
-        start[off[:-1][off[:-1] < len(e)]] = True
-        start[cut] = True
-        start[cut[cut + 1 < len(e)] + 1] = True
-        first = np.flatnonzero(start)
-        run = np.cumsum(start) - 1
-        total = np.concatenate([[0.0], np.cumsum(np.where(plain, lead, 0), dtype="f8")])
-        ends = np.append(first[1:], len(e))
-        at = np.arange(len(e))
-        return plain & (total[at] - total[first[run]] > most) & (total[ends[run]] - total[at + 1] > most)
+        if not len(e):
+            return np.zeros(0, bool)
+        move = self.field.move - self.field.move[0, 0]
+        into, out, inside = max(0.0, float(move[0, 1::2].max())), max(0.0, float(move[1:, 0].max())), float(move[1:, 1:].max())
+        gain = (e[:, 1:].max(1) - e[:, 0]).astype("f8") + inside
+        at = np.arange(len(e)) + np.repeat(np.arange(len(off) - 1), np.diff(off))  # a wall stands behind each text
+        walled = np.full(len(e) + len(off) - 1, -1e5)
+        walled[at] = gain
+        left = np.concatenate([[0.0], np.cumsum(walled)])
+        right = np.concatenate([[0.0], np.cumsum(walled[::-1])])
+        ending = (left[1:] - np.minimum.accumulate(left)[:-1])[at]
+        beginning = (right[1:] - np.minimum.accumulate(right)[:-1])[::-1][at]
+        return ending + beginning - gain + into + out - inside < -1e-3
 
     def decode(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the labels of its words; empty where all are O."""
