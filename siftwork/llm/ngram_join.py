@@ -51,6 +51,8 @@ BLOCK = 128
 LONG, LEADERS, ROUNDS = 12, 16, 3
 #: About the most lists of a node, and entries of blocks, that are counted together.
 TOGETHER, GROUP = 4096, 1 << 16
+#: Sets whose answers are used for another set's.
+NEAREST = 4
 #: Lists of shingles that have so many more than the mean count are not sorted.
 HOT = 1 << 15
 #: Most bits of a filter of document ids.
@@ -266,14 +268,26 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(full.select("a", "b", "s", "t").mapInArrow(run, "a long, b long, n long, m long, o long"))
 
 
+def best_answers(answers: DataFrame) -> DataFrame:
+    """(node, known): of answers (node, lead, n, l, o) the NEAREST with the most similar sets for each node, and for each of these sets itself."""
+    own = answers.select(F.col("lead").alias("node"), "lead", F.col("l").alias("n"), "l", F.col("l").alias("o")).distinct()
+    every = answers.select("node", "lead", "n", "l", "o").unionByName(own)
+    one = F.struct((F.col("o") / (F.col("n") + F.col("l"))).alias("near"), "lead", "l", "o")
+    return every.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(one), asc=False), 1, NEAREST).alias("known"))  # a node was compared with its lists' leaders at most
+
+
 def derived(pairs: DataFrame, answers: DataFrame) -> DataFrame:
-    """pairs (a, b, n, m) with the bounds least and most of their overlap, from overlaps with common sets in answers (node, size, lead, l, o)."""
-    one = answers.select(F.col("node").alias("a"), "lead", "l", "o")
-    two = answers.select(F.col("node").alias("b"), F.col("lead"), F.col("o").alias("p"))
-    met = pairs.join(one, "a").join(two, ["b", "lead"])
-    upper = F.least("o", "p") + F.least(F.col("n") - F.col("o"), F.col("m") - F.col("p"))
-    bounds = met.groupBy("a", "b").agg(F.max(F.col("o") + F.col("p") - F.col("l")).alias("least"), F.min(upper).alias("most"))
-    return pairs.join(bounds, ["a", "b"], "left")
+    """pairs (a, b, n, m) with the bounds least and most of their overlap from the sets that both are known to overlap with; null without one."""
+    known = best_answers(answers)
+    met = pairs.join(known.select(F.col("node").alias("a"), F.col("known").alias("x")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("known").alias("y")), "b", "left")
+
+    def bound(u: Column, v: Column) -> Column:
+        most = F.least(u["o"], v["o"]) + F.least(F.col("n") - u["o"], F.col("m") - v["o"])
+        return F.struct((u["o"] + v["o"] - u["l"]).alias("least"), most.alias("most"))
+
+    bounds = F.flatten(F.transform("x", lambda u: F.transform(F.filter("y", lambda v: v["lead"] == u["lead"]), lambda v: bound(u, v))))
+    met = met.withColumn("bounds", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), bounds))
+    return met.select("a", "b", "n", "m", F.array_max(F.col("bounds")["least"]).alias("least"), F.array_min(F.col("bounds")["most"]).alias("most"))
 
 
 def able(n: Column, m: Column, i: Column, j: Column) -> Column:
@@ -405,7 +419,7 @@ def labelled(docs: DataFrame, keyed: bool = False) -> DataFrame:
             sets = wanted_sets(docs, nodes, left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
         got = overlaps(left, sets)
         if not last:
-            more = got.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("m").alias("l"), "o")
+            more = got.select(F.col("a").alias("node"), F.col("b").alias("lead"), "n", F.col("m").alias("l"), "o")
             answers = more if answers is None else answers.unionByName(more)
         got = got.where(7 * F.col("o") >= both).select("a", "b")
         for other in (new, links):
