@@ -43,7 +43,6 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 def release() -> None:
     """Gives memory that nothing uses back to the system, which an executor's limit counts."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
@@ -61,6 +60,7 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
         for k in others:
             del store[k]
         if others:
+            gc.collect()
             release()
         store[key] = make()
     return store[key]
