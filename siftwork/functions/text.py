@@ -10,10 +10,11 @@ SPACE = "[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028
 
 
 def lines(content: Column) -> Column:
-    """Lines split at line feeds, each less one carriage return at its end, without the empty one after a final line feed."""
+    """Lines split at line feeds, each that one ended less one carriage return, without the empty one after a final line feed."""
     parts = F.split(content, "\n", -1)
     body = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(body, lambda x: F.regexp_replace(x, "\r$", ""))
+    ended = F.transform(body, lambda x, i: F.when(x.endswith("\r") & (i < F.size(parts) - 1), F.left(x, F.length(x) - 1)).otherwise(x))
+    return F.when(content.contains("\r\n"), ended).otherwise(body)
 
 
 def line_at(content: Column, line: Column) -> Column:
@@ -25,6 +26,11 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
 
+def spaced(word: str) -> str:
+    """A pattern for a word with white space anywhere in it."""
+    return f"{SPACE}*".join("".join(f"\\{c}" if c in "\\.*+?()[]{}|^$-/" else c) for c in word)
+
+
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")
 
@@ -35,16 +41,20 @@ def byte_slice(text: Column, begin: Column, end: Column) -> Column:
 
 
 def utf16_col(content: Column, row: Column, byte_col: Column) -> Column:
-    """1-based UTF-16 column of a 0-based row and byte column; lines end at line feeds alone, so \\r counts."""
-    line = F.element_at(F.split(content, "\n", -1), row + 1)
-    return utf16_length(byte_slice(line, F.lit(0), byte_col)) + 1
+    """1-based UTF-16 column of a 0-based row and byte column; lines end at line feeds alone, so \\r counts.
+
+    Null outside the content, beyond the line and inside a character.
+    """
+    line = F.when(row >= 0, F.try_element_at(F.split(content, "\n", -1), row + 1))
+    raw = F.encode(line, "UTF-8")
+    inside = F.hex(F.substring(raw, byte_col + 1, 1)).rlike("^[89AB]")
+    ok = (byte_col >= 0) & (byte_col <= F.octet_length(raw)) & ~F.coalesce(inside, F.lit(False))
+    return F.when(ok, utf16_length(byte_slice(line, F.lit(0), byte_col)) + 1)
 
 
 def line_of_offset(content: Column, offset: Column) -> Column:
     """1-based line of a byte offset; null at or beyond the end."""
     head = F.substring(F.encode(content, "UTF-8"), F.lit(1), offset)
-    feeds = (F.octet_length(head) - F.octet_length(F.regexp_replace(F.decode(head, "ISO-8859-1"), "\n", "")))
-    # Latin-1 bytes above 127 take two in UTF-8, so count by removal on one side only
     latin = F.decode(head, "ISO-8859-1")
     feeds = F.length(latin) - F.length(F.replace(latin, F.lit("\n"), F.lit("")))
     return F.when(offset < F.octet_length(content), feeds + 1)
@@ -54,10 +64,20 @@ def fingerprint(rule: Column, path: Column, content: Column, regions: Column) ->
     """Hex SHA-256 over rule|path|bytes|stripped line|bytes of each region's line, comma-joined; null if no line exists."""
     rows = F.transform(regions, lambda n: line_at(content, n))
     kept = F.transform(F.filter(rows, lambda x: x.isNotNull()), stripped)
-    parts = F.transform(kept, lambda s: F.concat_ws("|", rule, path, F.octet_length(path).cast("string"), s, F.octet_length(s).cast("string")))
+    parts = F.transform(kept, lambda s: _region(rule, path, s))
     return F.when(F.size(parts) > 0, F.sha2(F.array_join(parts, ","), 256))
 
 
+def line_fingerprint(rule: Column, path: Column, line: Column) -> Column:
+    """fingerprint of one region whose line is at hand."""
+    return F.sha2(_region(rule, path, F.when(line.isNotNull(), stripped(line))), 256)
+
+
+def _region(rule: Column, path: Column, bare: Column) -> Column:
+    """Null without a line."""
+    return F.when(bare.isNotNull(), F.concat_ws("|", rule, path, F.octet_length(path).cast("string"), bare, F.octet_length(bare).cast("string")))
+
+
 def percent_encode(path: Column) -> Column:
     """Controls, non-ASCII bytes and space " < > ` [ ] # % as %XX."""
     out = F.replace(path, F.lit("%"), F.lit("%25"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.functions.text import fingerprint
+from siftwork.functions.text import fingerprint, line_fingerprint
 
 
 def exploded(results: DataFrame) -> DataFrame:
@@ -78,7 +78,12 @@ def on_changed_lines(findings: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def fingerprinted(findings: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """findings (rule_name, path, start_line, flow_lines or none) with fingerprint; content is joined once for each path."""
+    """findings (rule_name, path, start_line, flow_lines or none) with fingerprint; content is joined once for each path.
+
+    Findings that bring their line (column line_text, null where it does not exist) need no content, unless flows name other lines.
+    """
+    if "line_text" in findings.columns and "flow_lines" not in findings.columns:
+        return findings.withColumn("fingerprint", line_fingerprint(F.col("rule_name"), F.col("path"), F.col("line_text")))
     lines = F.when(F.size(F.coalesce("flow_lines", F.array().cast("array<int>"))) > 0, F.col("flow_lines")).otherwise(F.array("start_line")) if "flow_lines" in findings.columns else F.array("start_line")
     out = findings.join(artifacts.select(F.col("path").alias("a_path"), F.col("content").alias("a_content")), F.col("path") == F.col("a_path"), "left")
     return out.withColumn("fingerprint", fingerprint(F.col("rule_name"), F.col("path"), F.col("a_content"), lines)).drop("a_path", "a_content")

@@ -54,6 +54,13 @@ def languages(rules: DataFrame) -> DataFrame:
     return rules.select("language").distinct()
 
 
+def for_artifacts(artifacts: DataFrame, rules: DataFrame) -> DataFrame:
+    """artifacts (with language) x the names of the rules that run on their language; a rule of many thousands of artifacts is an
+    equi-join's key like any other, and Spark sends the catalogue to all tasks where it finds it small."""
+    wanted = rules.where("language is not null").select(F.col("name").alias("rule_name"), "language").distinct()
+    return artifacts.join(wanted, "language")
+
+
 def union_rules(*catalogues: DataFrame) -> DataFrame:
     """All rules of several catalogues; the same rule may come twice."""
     out = catalogues[0]

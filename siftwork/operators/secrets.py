@@ -8,6 +8,7 @@ need Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,14 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwork.functions.text import priority_severity
-from siftwork.operators.suppress import numbered_lines, secret_lines
+from siftwork.functions.text import lines, priority_severity
+from siftwork.operators.suppress import secret_lines
 
 
-def line_matches(artifacts: DataFrame, rules: list[dict]) -> DataFrame:
+_CONTEXT = re.compile(r"[\^$]|\\[bBAzZG]|\(\?[=!<]")
+
+
+def line_matches(artifacts: DataFrame, rules: list[dict], with_text: bool = False) -> DataFrame:
     """path, line, rule_id, match: matches inside lines, all of them; rules: dicts with rule_id, pattern and, if wanted,
-    included_keywords and excluded_keywords, which the artifact's content must and must not hold."""
-    found = []
+    included_keywords and excluded_keywords, which the artifact's content must and must not hold, and literals, of which every match
+    holds one. with_text: also line_text, the line.
+
+    An artifact is cut into lines only if a rule can match in it: by its keywords and literals and, for a pattern that does not look
+    at what is around its match, by one search of the whole content. Lines without a literal are not searched.
+    """
+    may, found = [], []
     for r in rules:
         content = F.lower("content")
         ok = F.lit(True)
@@ -33,19 +42,28 @@ def line_matches(artifacts: DataFrame, rules: list[dict]) -> DataFrame:
         for k in r.get("excluded_keywords") or []:
             ok = ok & ~content.contains(k.lower())
         every = F.regexp_extract_all(F.col("text"), F.lit(r["pattern"]), F.lit(0))
-        found.append((r["rule_id"], ok, every))
-    keep = [c for c in ("path", "language") if c in artifacts.columns]
-    flags = artifacts.withColumn("_ok", F.array(*[ok for _, ok, _ in found]))
-    rows = numbered_lines(artifacts) if all(not r.get("included_keywords") and not r.get("excluded_keywords") for r in rules) else None
-    if rows is None:
-        from siftwork.functions.text import lines
-
-        rows = flags.select(*keep, "_ok", F.posexplode(lines(F.col("content"))).alias("at", "text")).select(*keep, "_ok", (F.col("at") + 1).alias("line"), "text").where(F.exists("_ok", lambda x: x))
-        per_rule = [F.struct(F.lit(i).alias("ord"), F.lit(rid).alias("rule_id"), F.when(F.col("_ok")[i], every).otherwise(F.array().cast("array<string>")).alias("m")) for i, (rid, _, every) in enumerate(found)]
-    else:
-        per_rule = [F.struct(F.lit(i).alias("ord"), F.lit(rid).alias("rule_id"), every.alias("m")) for i, (rid, _, every) in enumerate(found)]
-    hits = rows.select("path", "line", F.explode(F.array(*per_rule)).alias("h"))
-    return hits.select("path", "line", F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.posexplode("h.m").alias("nth", "match"))
+        if r.get("literals"):
+            ok = ok & _any(F.col("content"), r["literals"])
+            every = F.when(_any(F.col("text"), r["literals"]), every).otherwise(F.array().cast("array<string>"))
+        if not _CONTEXT.search(r["pattern"]):
+            ok = F.when(ok, F.col("content").rlike(r["pattern"])).otherwise(False)
+        may.append(F.coalesce(ok, F.lit(False)))
+        found.append((r["rule_id"], every))
+    rows = artifacts.withColumn("_ok", F.array(*may)).where(F.exists("_ok", lambda x: x))
+    rows = rows.select("path", "_ok", F.posexplode(lines(F.col("content"))).alias("at", "text")).select("path", "_ok", (F.col("at") + 1).alias("line"), "text")
+    none = F.array().cast("array<string>")
+    per_rule = [F.struct(F.lit(i).alias("ord"), F.lit(rid).alias("rule_id"), F.when(F.col("_ok")[i], every).otherwise(none).alias("m")) for i, (rid, every) in enumerate(found)]
+    text = ["text"] if with_text else []
+    hits = rows.select("path", "line", *text, F.explode(F.array(*per_rule)).alias("h")).where(F.size("h.m") > 0)
+    hits = hits.select("path", "line", *text, F.col("h.ord").alias("ord"), F.col("h.rule_id").alias("rule_id"), F.posexplode("h.m").alias("nth", "match"))
+    return hits.withColumnRenamed("text", "line_text") if with_text else hits
+
+
+def _any(text: Column, literals: list[str]) -> Column:
+    out = F.lit(False)
+    for x in literals:
+        out = out | text.contains(x)
+    return out
 
 
 def scan(artifacts: DataFrame, rules: list[dict], drop_at_end: bool = True) -> DataFrame:

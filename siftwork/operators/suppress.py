@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftwork.functions.text import lines, stripped
+from siftwork.functions.text import SPACE, lines, spaced, stripped
 
 # Comment prefixes by language; JSON has none that a text contains.
 COMMENTS = {
@@ -43,7 +43,8 @@ def is_directive(text: Column, language: Column, keywords: tuple[str, ...] = KEY
     for prefix, langs in COMMENTS.items():
         for k in keywords:
             out = out | (language.isin(langs) & bare.contains(prefix + k))
-    return F.coalesce(out, F.lit(False))
+    # lines are stripped only where a keyword may be
+    return F.coalesce(F.when(text.rlike("|".join(map(spaced, keywords))), out), F.lit(False))
 
 
 def named_rules(text: Column, keywords: tuple[str, ...] = KEYWORDS) -> Column:
@@ -61,12 +62,10 @@ def suppressions(artifacts: DataFrame, keywords: tuple[str, ...] = KEYWORDS) ->
     to and with the first other line. Of directives that name rules for one line, the last counts. An artifact's lines
     share a window, which is as large as the artifact; only artifacts with a directive get there.
     """
-    some = F.lit(False)
-    for k in keywords:
-        some = some | stripped(F.col("content")).contains(k)
-    marked = artifacts.where(F.coalesce(some, F.lit(False)))
+    marked = artifacts.where(F.col("content").rlike("|".join(map(spaced, keywords))))
     rows = numbered_lines(marked).withColumns({"comment": is_comment(F.col("text"), F.col("language")), "directive": is_directive(F.col("text"), F.col("language"), keywords)})
-    after = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    # from the last line up, so that the frame grows with each row and is not computed anew
+    after = Window.partitionBy("path").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     last = F.max("line").over(Window.partitionBy("path"))
     stop = F.coalesce(F.min(F.when(~F.col("comment"), F.col("line"))).over(after), last + 1)
     found = rows.withColumn("stop", stop).where("directive").select("path", "line", "stop", named_rules(F.col("text"), keywords).alias("rules"))
@@ -90,9 +89,11 @@ def with_suppression(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 def secret_lines(artifacts: DataFrame) -> DataFrame:
     """(path, line) after each line that begins, white space aside, with a secret directive."""
-    rows = numbered_lines(artifacts)
+    # only artifacts with a line that begins with a comment sign are cut into lines, and only such lines are stripped
+    rows = numbered_lines(artifacts.where(F.col("content").rlike(f"(?:^|\n){SPACE}*[#/]")))
     bare = stripped(F.col("text"))
     hit = F.lit(False)
     for m in SECRET_MARKS:
         hit = hit | bare.startswith(m)
+    rows = rows.where(F.col("text").rlike(f"^{SPACE}*[#/]"))
     return rows.where(hit).select("path", (F.col("line") + 1).alias("line")).distinct()

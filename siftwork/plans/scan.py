@@ -60,10 +60,10 @@ def run_bodies(matches: DataFrame, bodies: dict[str, Callable[[dict, Report], No
 
 def secret_findings(artifacts: DataFrame, rules: DataFrame, rule_list: list[dict]) -> DataFrame:
     """Line matches with rule, suppression and fingerprint."""
-    hits = sec.line_matches(artifacts, rule_list).withColumn("start_line", F.col("line"))
+    hits = sec.line_matches(artifacts, rule_list, with_text=True).withColumn("start_line", F.col("line"))
     shown = sec.without_supporting(hits, rules)
     out = sec.with_secret_suppression(sec.named(shown, rules), artifacts)
-    return fnd.fingerprinted(out, artifacts)
+    return fnd.fingerprinted(out, artifacts).drop("line_text")
 
 
 def static_findings(found: DataFrame, artifacts: DataFrame, rules: DataFrame, config: dict | None = None) -> DataFrame:

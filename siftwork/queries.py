@@ -26,9 +26,9 @@ EXTENSIONS = ["py", "JS", "go", "java", "rb", "ts", "tf", "sql", "md", "json", "
 HEADS = ["# no-dd-sa", "// no-dd-sa: set/token, other", "Code generated by a tool", "#no-dd-secrets", "import unittest", "", "x = 1 # no-dd-sa set/email\n# more\n//  more", "\n# no-dd-sa:set/email\n# a\n\tb\nlast"]
 DIRS = ["src", "src/test", "lib/node_modules/a", "Vendor", "spec/x y", "a/b/c"]
 SECRET_RULES = [
-    {"rule_id": "set/token", "pattern": 'token = "[0-9a-f]{40}"', "name": "hex token", "priority": "High", "is_supporting": False},
-    {"rule_id": "set/email", "pattern": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+", "name": "address", "priority": "Medium", "is_supporting": False},
-    {"rule_id": "set/license", "pattern": "(?:Licen[sc]ed|Copyright)", "name": "licence", "priority": "Info", "is_supporting": False},
+    {"rule_id": "set/token", "pattern": 'token = "[0-9a-f]{40}"', "name": "hex token", "priority": "High", "is_supporting": False, "literals": ['token = "']},
+    {"rule_id": "set/email", "pattern": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+", "name": "address", "priority": "Medium", "is_supporting": False, "literals": ["@"]},
+    {"rule_id": "set/license", "pattern": "(?:Licen[sc]ed|Copyright)", "name": "licence", "priority": "Info", "is_supporting": False, "literals": ["Licen", "Copyright"]},
     {"rule_id": "set/number", "pattern": "[0-9]{13,16}", "name": "digits", "priority": "Low", "is_supporting": True},
 ]
 
@@ -93,7 +93,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = artifacts(spark, sf_dir)
-    hits = secrets.without_supporting(secrets.line_matches(a, SECRET_RULES), rule_table(spark))
+    hits = secrets.without_supporting(secrets.line_matches(a, SECRET_RULES, with_text=True), rule_table(spark))
     return secrets.with_secret_suppression(secrets.named(hits, rule_table(spark)), a, "line")
 
 
@@ -125,7 +125,7 @@ def secret_totals(spark, sf_dir):
 
 @query("findings_fingerprint", FOUND + f" SELECT path, CAST(line AS BIGINT) AS line, rule_id, sha256(rule_id || '|' || path || '|' || strlen(path) || '|' || {BARE} || '|' || strlen({BARE})) AS fingerprint FROM found")
 def findings_fingerprint(spark, sf_dir):
-    f = found(spark, sf_dir).select("path", F.col("rule_id").alias("rule_name"), F.col("line").alias("start_line"))
+    f = found(spark, sf_dir).select("path", F.col("rule_id").alias("rule_name"), F.col("line").alias("start_line"), "line_text")
     return findings.fingerprinted(f, artifacts(spark, sf_dir)).select("path", F.col("start_line").cast("long").alias("line"), F.col("rule_name").alias("rule_id"), "fingerprint")
 
 
@@ -297,10 +297,10 @@ def failed_files(spark, sf_dir):
     return findings.failed_files(stats(spark, sf_dir)).withColumn("files", F.array_join("files", ","))
 
 
-@query("metadata_union", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.q ELSE b.q END AS quality FROM (SELECT doc_id, quality AS q FROM labels WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id, 1 - quality AS q FROM labels WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id")
+@query("metadata_union", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.q ELSE b.q END AS quality FROM (SELECT doc_id, quality AS q FROM labels) a FULL JOIN (SELECT doc_id, 1 - quality AS q FROM labels) b ON a.doc_id = b.doc_id")
 def metadata_union(spark, sf_dir):
     lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    return findings.first_writer(lab.where("doc_id % 2 = 0"), lab.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")), "doc_id", "quality")
+    return findings.first_writer(lab, lab.withColumn("quality", 1 - F.col("quality")), "doc_id", "quality")
 
 
 @query("metadata_union_all", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.q ELSE b.q END AS quality FROM (SELECT doc_id, CAST(quality AS BIGINT) AS q FROM labels) a FULL JOIN (SELECT doc_id, CAST(n_chars AS BIGINT) AS q FROM documents) b ON a.doc_id = b.doc_id")
@@ -479,10 +479,10 @@ def transpose_paths(spark, sf_dir):
     return flow.taint_sinks(graph(spark, sf_dir), starts).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
-@query("import_prefix", "SELECT l_orderkey AS k, l_linenumber AS line, package FROM (SELECT l_orderkey, l_linenumber, (['java.util.List', 'org.junit.Test', 'org.junit', 'org', 'org.junitx.A'])[(l_partkey % 5 + 1)::INT] AS package FROM lineitem WHERE l_suppkey % 50 = 1) WHERE package = 'org.junit' OR starts_with(package, 'org.junit.') GROUP BY ALL")
+@query("import_prefix", "SELECT l_orderkey AS k, l_linenumber AS line, package FROM (SELECT l_orderkey, l_linenumber, (['java.util.List', 'org.junit.Test', 'org.junit', 'org', 'org.junitx.A'])[(l_partkey % 5 + 1)::INT] AS package FROM lineitem) WHERE package = 'org.junit' OR starts_with(package, 'org.junit.') GROUP BY ALL")
 def import_prefix(spark, sf_dir):
     names = ["java.util.List", "org.junit.Test", "org.junit", "org", "org.junitx.A"]
-    i = load(spark, sf_dir, "lineitem").where("l_suppkey % 50 = 1").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), dealt(names, "l_partkey").alias("package"))
+    i = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), dealt(names, "l_partkey").alias("package"))
     return imports.with_prefix(i, spark.createDataFrame([("org.junit",)], "package string"))
 
 
@@ -495,6 +495,16 @@ def import_prefix_all(spark, sf_dir):
     return imports.with_prefix(i, spark.createDataFrame([("org.junit",)], "package string"))
 
 
+_RULE_LANGS = ["PYTHON", "GO", "JAVA", "SQL", "TERRAFORM"]
+
+
+@query("rules_for_artifacts", f"WITH {ART}, {LANG}, r AS (SELECT n_name AS rule_name, ({_list(_RULE_LANGS)})[n_nationkey % 5 + 1] AS language FROM nation) SELECT path, language, rule_name FROM lang JOIN r USING (language)")
+def rules_for_artifacts(spark, sf_dir):
+    r = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), dealt(_RULE_LANGS, "n_nationkey").alias("language"))
+    a = artifacts(spark, sf_dir).select("path", files.language_of(F.col("path")).alias("language"))
+    return rules.for_artifacts(a, r).select("path", "language", "rule_name")
+
+
 _IMP = "regexp_extract(text, '^\\s*import\\s+([.\\w]+)', 1)"
 
 

@@ -44,7 +44,7 @@ def gitignore_patterns(root: str) -> list[str]:
 
 
 def _git(root: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True, timeout=600).stdout
+    return subprocess.run(["git", "-C", root, "-c", "core.quotePath=false", *args], capture_output=True, text=True, check=True, timeout=600).stdout
 
 
 def changed_lines(spark: SparkSession, root: str, base: str, head: str = "HEAD") -> DataFrame:
