@@ -18,6 +18,7 @@ replaced; a text without white space is one word of any length; rows that repeat
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from bisect import bisect_left
@@ -446,9 +447,15 @@ def _scan(batch: pa.RecordBatch, decoder: Decoder) -> tuple[list[str], list, lis
     return texts, base, spans
 
 
+@functools.cache
+def trained() -> Field:
+    """The field of TRAINING, once in a driver's life."""
+    return train()
+
+
 def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), field: Field | None = None) -> DataFrame:
     """The columns `keep` of docs, base_spans and spans (arrays of kind, start, end in code points, end exclusive)."""
-    field = field or train()
+    field = field or trained()
     token = ("pii", field.token())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -466,7 +473,7 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), field: Fiel
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with every span replaced by <KIND>, overlapping spans by the first; n_chars, if there, counts anew."""
-    field = field or train()
+    field = field or trained()
     token = ("pii", field.token())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
