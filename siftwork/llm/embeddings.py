@@ -129,22 +129,30 @@ def traverse(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, same: bool, least
     both its points. Pairs of nodes with at most `small` pairs of points are not opened. Returns how many pairs of points were compared one by one."""
     far, compared = apart(least), 0
 
-    def exact(u: slice, v: slice) -> None:
-        for k in range(u.start, u.stop, 512):
-            part = a.x[k : min(u.stop, k + 512)]
-            cos = part @ b.x[v].T
+    def exact(pu: np.ndarray, pv: np.ndarray, ru: np.ndarray, rv: np.ndarray, wanted: np.ndarray) -> None:
+        """Compares points pu of a with pv of b, where wanted[ru, rv]."""
+        other = b.x[pv].T
+        for k in range(0, len(pu), 512):
+            mine = pu[k : k + 512]
+            cos = a.x[mine] @ other
             ok = cos >= least
-            for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-9), strict=True):  # the product's order of sums must not decide
-                ok[i, j] = float(np.sum(part[i] * b.x[v.start + j])) >= least
-            if ok.any():
-                links.count[sa + k : sa + k + len(part)] += ok @ wb[v]
-                if not same:
-                    links.count[sb + v.start : sb + v.stop] += wa[k : k + len(part)] @ ok
-                for i in np.flatnonzero(ok.any(1)):
-                    hit = sb + v.start + np.flatnonzero(ok[i])
-                    top = links.root(sa + k + int(i))
-                    for j in hit[links.up[hit] != top]:
-                        links.join(top, int(j))
+            for i, j in np.argwhere(np.abs(cos - least) < 1e-9):  # the product's order of sums must not decide
+                ok[i, j] = float(np.sum(a.x[mine[i]] * b.x[pv[j]])) >= least
+            i, j = np.nonzero(ok)
+            take = wanted[ru[k + i], rv[j]]
+            i, j = i[take], j[take]
+            np.add.at(links.count, sa + mine[i], wb[pv[j]])
+            if not same:
+                np.add.at(links.count, sb + pv[j], wa[mine[i]])
+            for p, q in zip((sa + mine[i]).tolist(), (sb + pv[j]).tolist(), strict=True):
+                if links.up[p] != links.up[q]:
+                    links.join(p, q)
+
+    def spread(begin: np.ndarray, end: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The points of nodes, and which node of the list each is of."""
+        n = (end - begin)[nodes]
+        which = np.repeat(np.arange(len(nodes)), n)
+        return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[nodes][which], which
 
     todo = [(np.array([0]), np.array([0]))]
     while todo:
@@ -153,25 +161,38 @@ def traverse(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, same: bool, least
             part = na[k : k + 1024]
             d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[a.centre[part]] @ b.x[b.centre[nb]].T)))
             reach = a.radius[part][:, None] + b.radius[nb]
-            for i, j in zip(*np.nonzero(d <= far + reach + SLACK), strict=True):
+            near = d <= far + reach + SLACK
+            size = (a.end - a.begin)[part][:, None] * (b.end - b.begin)[nb]
+            whole = near & (d <= far - reach - SLACK) & (size > 1)
+            single = near & ~whole & ((size <= small) | ((a.first == a.last)[part][:, None] & (b.first == b.last)[nb]))
+            if single.any():  # all of these pairs in one product
+                rows, cols = np.flatnonzero(single.any(1)), np.flatnonzero(single.any(0))
+                pu, ru = spread(a.begin, a.end, part[rows])
+                pv, rv = spread(b.begin, b.end, nb[cols])
+                compared += int(size[single].sum())
+                exact(pu, pv, ru, rv, single[np.ix_(rows, cols)])
+            for i, j in np.argwhere(whole):
                 u, v = int(part[i]), int(nb[j])
                 pu, pv = slice(int(a.begin[u]), int(a.end[u])), slice(int(b.begin[v]), int(b.end[v]))
-                size = (pu.stop - pu.start) * (pv.stop - pv.start)
-                if d[i, j] <= far - reach[i, j] - SLACK and size > 1:
-                    links.count[sa + pu.start : sa + pu.stop] += wb[pv].sum()
-                    if not same:
-                        links.count[sb + pv.start : sb + pv.stop] += wa[pu].sum()
-                    for p in range(sa + pu.start, sa + pu.stop):
-                        links.join(sa + pu.start, p)
-                    for p in range(sb + pv.start, sb + pv.stop):
-                        links.join(sa + pu.start, p)
-                elif size <= small or (a.first[u] == a.last[u] and b.first[v] == b.last[v]):
-                    compared += size
-                    exact(pu, pv)
-                else:
-                    open_a = a.first[u] < a.last[u] and (a.radius[u] >= b.radius[v] or b.first[v] == b.last[v])
-                    open_b = b.first[v] < b.last[v] and (b.radius[v] >= a.radius[u] or a.first[u] == a.last[u])
-                    todo.append((np.arange(a.first[u], a.last[u]) if open_a else np.array([u]), np.arange(b.first[v], b.last[v]) if open_b else np.array([v])))
+                links.count[sa + pu.start : sa + pu.stop] += wb[pv].sum()
+                if not same:
+                    links.count[sb + pv.start : sb + pv.stop] += wa[pu].sum()
+                for p in range(sa + pu.start, sa + pu.stop):
+                    links.join(sa + pu.start, p)
+                for p in range(sb + pv.start, sb + pv.stop):
+                    links.join(sa + pu.start, p)
+            wide = near & ~whole & ~single
+            for i in np.flatnonzero(wide.any(1)):
+                u, kept_v = int(part[i]), []
+                for v in nb[wide[i]].tolist():
+                    has_a, has_b = a.first[u] < a.last[u], b.first[v] < b.last[v]
+                    open_a = has_a and (2 * a.radius[u] >= b.radius[v] or not has_b)
+                    if has_b and (2 * b.radius[v] >= a.radius[u] or not has_a):
+                        todo.append((np.arange(a.first[u], a.last[u]) if open_a else np.array([u]), np.arange(b.first[v], b.last[v])))
+                    else:
+                        kept_v.append(v)
+                if kept_v:  # small nodes that meet one that is opened
+                    todo.append((np.arange(a.first[u], a.last[u]), np.array(kept_v)))
     return compared
 
 

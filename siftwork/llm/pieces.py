@@ -44,8 +44,8 @@ _HEAD = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 class Pieces:
     """The lattice of one model: which substrings are arcs, and how two of them join."""
 
-    #: Words of each of two generations, the longest of them, and joins, that a worker keeps: some 100 MB at most.
-    CACHE, LONGEST, PAIRS = 1 << 18, 64, 1 << 18
+    #: Words of each of two generations, the longest of them, and joins, that a worker keeps: some 200 MB at most.
+    CACHE, LONGEST, PAIRS = 1 << 19, 64, 1 << 19
 
     def __init__(self, path: str):
         import sentencepiece
