@@ -52,7 +52,7 @@ def changed_lines(spark: SparkSession, root: str, base: str, head: str = "HEAD")
     rows, path = [], None
     for line in _git(root, "diff", "-U0", "--no-color", "--no-renames", base, head).splitlines():
         if line.startswith("+++ "):
-            path = line[6:] if line.startswith("+++ b/") else None
+            path = line[6:].removesuffix("\t") if line.startswith("+++ b/") else None  # git ends names that hold spaces by a tab
         elif path and (m := re.match(r"@@ -\S+ \+([0-9]+)(?:,([0-9]+))? @@", line)):
             rows += [(path, int(m[1]) + i) for i in range(int(m[2] or 1))]
     return spark.createDataFrame(rows, CHANGED_LINES)
