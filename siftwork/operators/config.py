@@ -7,6 +7,7 @@ the artifacts' own paths generate, so every join has equal keys.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 from typing import Any
 
 import yaml
@@ -129,6 +130,38 @@ def parse_config(text: str) -> dict | None:
     return {"version": kind, "use_default": False, "use": list(sets), "ignore_rulesets": [], "rulesets": sets, "only": only, "ignore": doc.get("ignore-paths") or doc.get("ignore") or [], "use_gitignore": not doc.get("ignore-gitignore", False), "max_file_size_kb": doc.get("max-file-size-kb", 200), "ignore_generated": doc.get("ignore-generated-files", True)}
 
 
+def check_format(text: str, declared: str) -> None:
+    """Raises where text is not of the declared version ('legacy' or 'v1')."""
+    if (found := schema_version(text)) != declared:
+        raise ValueError(f"schema mismatch: declared {declared}, found {found}")
+
+
+def local_config(folder: str) -> dict | None:
+    """The configuration of a repository's folder: the first of FILE_NAMES of the unified form, else of the legacy form, which is
+    upgraded. A file of white space alone counts as none, so the other form is looked for; a folder without any has none."""
+    for kind, names in (("v1", FILE_NAMES[:2]), ("legacy", FILE_NAMES[2:])):
+        text = next((p.read_text("utf-8") for n in names if (p := Path(folder, n)).is_file()), "")
+        if text.strip():
+            check_format(text, kind)
+            config = parse_config(text)
+            return parse_config(yaml.safe_dump(upgrade(config), sort_keys=False)) if kind == "legacy" else config
+    return None
+
+
+def chosen_config(folder: str, remote: str | None = None) -> tuple[dict, str] | None:
+    """(configuration, where it is from): remote, the text of a configuration kept elsewhere in the unified form, goes before the
+    folder's file; where it cannot be read the file stays. From is 'file', 'remote' or 'remote with file'."""
+    local = local_config(folder)
+    if remote is not None:
+        try:
+            check_format(remote, "v1")
+            if config := parse_config(remote):
+                return config, "remote with file" if local else "remote"
+        except (ValueError, yaml.YAMLError):
+            pass  # as documented: the file stays
+    return (local, "file") if local else None
+
+
 def upgrade(config: dict) -> dict:
     """A legacy configuration as a v1 document (a mapping to be written as YAML)."""
     glob = {k: v for k, v in (("only-paths", config["only"]), ("ignore-paths", config["ignore"] or None), ("use-gitignore", None if config["use_gitignore"] else False)) if v is not None}

@@ -17,11 +17,17 @@ def non_empty(results: DataFrame) -> DataFrame:
     return results.where(F.size("violations") > 0)
 
 
+def valid_edits(fixes: Column) -> Column:
+    """All edits of the fixes start, and end if they have an end, above 0."""
+    ok = lambda p: (p["line"] > 0) & (p["col"] > 0)
+    edits = F.flatten(F.transform(F.coalesce(fixes, F.array()), lambda f: f["edits"]))
+    return F.forall(edits, lambda e: ok(e["start"]) & F.coalesce(ok(e["end"]), F.lit(True)))
+
+
 def valid_positions(violation: Column) -> Column:
     """Lines and columns of the violation and of all its edits are above 0."""
     ok = lambda p: (p["line"] > 0) & (p["col"] > 0)
-    edits = F.flatten(F.transform(F.coalesce(violation["fixes"], F.array()), lambda f: f["edits"]))
-    return ok(violation["start"]) & ok(violation["end"]) & F.forall(edits, lambda e: ok(e["start"]) & ok(e["end"]))
+    return ok(violation["start"]) & ok(violation["end"]) & valid_edits(violation["fixes"])
 
 
 def rule_times(stats: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_STEPS = 64
-
 
 def transposed(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})
@@ -17,16 +17,17 @@ def without_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, steps: int = MAX_STEPS) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, steps: int = 2**31 - 1) -> DataFrame:
     """(graph_id, path): all simple paths of two vertices or more from each start (graph_id, vertex) to a leaf, a
     vertex without edges out. A path that could only go back into itself is dropped.
 
     Each step joins the open paths to the edges on (graph_id, vertex). Their number may grow exponentially, as the
-    paths themselves do; `steps` bounds their length, and is an error rather than a cut when it is reached.
+    paths themselves do. A path meets no vertex twice, so the walk ends by itself; a
+    lower `steps`, like Spark's own limit of rows (spark.sql.cteRecursionRowLimit), is an error rather than a cut when it is reached.
     """
     e = without_loops(edges).select("graph_id", "src", "dst").distinct()
     leaves = e.select("graph_id", F.col("dst").alias("vertex")).distinct().join(e.select("graph_id", F.col("src").alias("vertex")), ["graph_id", "vertex"], "left_anti")
-    view = "siftwork_flow"
+    view = f"siftwork_flow_{uuid.uuid4().hex}"  # plans of one session share no names
     e.createOrReplaceTempView(f"{view}_edges")
     starts.select("graph_id", "vertex").distinct().createOrReplaceTempView(f"{view}_starts")
     leaves.createOrReplaceTempView(f"{view}_leaves")

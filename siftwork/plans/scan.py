@@ -6,6 +6,7 @@ import time
 import traceback
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,46 @@ from siftwork.operators import config as cfg
 from siftwork.operators import findings as fnd
 from siftwork.operators import secrets as sec
 from siftwork.operators import suppress
+from siftwork.schemas import FIX, REGION
 
-FOUND = "path string, rule_name string, start_line int, start_col int, end_line int, end_col int, message string, error string, output string"
+FOUND = f"path string, rule_name string, start_line int, start_col int, end_line int, end_col int, message string, fixes array<{FIX}>, taint_flow array<{REGION}>, error string, output string"
+COLUMNS = ["path", "rule_name", "start_line", "start_col", "end_line", "end_col", "message", "fixes", "taint_flow", "error", "output"]
+
+
+def _at(line: int, col: int) -> dict:
+    return {"line": line, "col": col}
+
+
+def edit_add(line: int, col: int, content: str) -> dict:
+    """An insertion; it has no end."""
+    return {"start": _at(line, col), "end": None, "edit_type": "ADD", "content": content}
+
+
+def edit_remove(start_line: int, start_col: int, end_line: int, end_col: int) -> dict:
+    return {"start": _at(start_line, start_col), "end": _at(end_line, end_col), "edit_type": "REMOVE", "content": None}
+
+
+def edit_update(start_line: int, start_col: int, end_line: int, end_col: int, content: str) -> dict:
+    return {"start": _at(start_line, start_col), "end": _at(end_line, end_col), "edit_type": "UPDATE", "content": content}
+
+
+def fix(description: str, *edits: dict) -> dict:
+    return {"description": description, "edits": list(edits)}
+
+
+def _region(where: tuple) -> dict:
+    """A region of four numbers, of two (line, col) pairs, or of one mapping with start_line, start_col, end_line and end_col (a
+    node of the node table) or with start and end (a region)."""
+    if len(where) == 1 and isinstance(where[0], dict):
+        m = where[0]
+        where = (m["start"]["line"], m["start"]["col"], m["end"]["line"], m["end"]["col"]) if "start" in m else (m["start_line"], m["start_col"], m["end_line"], m["end_col"])
+    elif len(where) == 2 and all(isinstance(p, (tuple, list)) and len(p) == 2 for p in where):
+        where = (*where[0], *where[1])
+    if len(where) != 4 or not all(isinstance(x, (int, np.integer)) for x in where):
+        raise ValueError("a place is four numbers, two positions, a node or a region")
+    if tuple(where[:2]) > tuple(where[2:]):
+        raise ValueError("start follows end")
+    return {"start": _at(*map(int, where[:2])), "end": _at(*map(int, where[2:]))}
 
 
 class Report:
@@ -25,34 +64,50 @@ class Report:
         self.violations: list[tuple] = []
         self.lines: list[str] = []
 
-    def violation(self, start_line: int, start_col: int, end_line: int, end_col: int, message: str) -> None:
-        if (start_line, start_col) > (end_line, end_col):
-            raise ValueError("start follows end")
-        self.violations.append((start_line, start_col, end_line, end_col, message))
+    def violation(self, *where_and_message: object, fixes: list[dict] | None = None, flow: list | None = None) -> None:
+        """A place as `_region` takes it, then the message; or flow, a list of such places, whose first is the violation's. Its start
+        must not follow its end."""
+        *where, message = where_and_message
+        regions = [_region(tuple(p) if isinstance(p, (tuple, list)) else (p,)) for p in flow] if flow else None
+        at = regions[0] if regions else _region(tuple(where))
+        self.violations.append((at["start"]["line"], at["start"]["col"], at["end"]["line"], at["end"]["col"], message, list(fixes or []), regions))
 
     def log(self, *words: object) -> None:
         self.lines.append(" ".join(map(str, words)))
 
 
-def run_bodies(matches: DataFrame, bodies: dict[str, Callable[[dict, Report], None]], limit_s: float = 2.0) -> DataFrame:
+def run_bodies(
+    matches: DataFrame,
+    bodies: dict[str, Callable[[dict, Report], None]],
+    limit_s: float = 2.0,
+    before_all: dict[str, Callable[[list[dict], Report], None]] | None = None,
+    after_all: dict[str, Callable[[Report], None]] | None = None,
+) -> DataFrame:
     """FOUND for matches (path, rule_name, captures: map of names to text, and start_line): each rule's body is called once for
-    each match of a file. A body that fails, or is past its time for a file, gives one row with `error` and none of its
-    violations; the job goes on. Rules without matches are not run."""
+    each match of a file, after its before_all (with all matches of the file) and before its after_all, where it has any. A body or
+    hook that fails, or is past its time for a file, gives one row with `error` and none of its violations; the job goes on.
+    Time is looked at between calls, so a call that never ends holds its task. Rules without matches are not run."""
+    first, last = before_all or {}, after_all or {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rule, path = pdf["rule_name"].iloc[0], pdf["path"].iloc[0]
         report, end, error = Report(), time.monotonic() + limit_s, None
         try:
-            for m in pdf.to_dict("records"):
+            records = pdf.to_dict("records")
+            if rule in first:
+                first[rule](records, report)
+            for m in records:
                 if time.monotonic() > end:
                     error = "rule-timeout"
                     break
                 bodies[rule](m, report)
+            if error is None and rule in last:
+                last[rule](report)
         except Exception:  # noqa: BLE001  a rule's fault is its result
             error = "error-execution: " + traceback.format_exc(limit=1).strip().splitlines()[-1]
         said = "\n".join(report.lines) or None
-        rows = [(path, rule, None, None, None, None, None, error, said)] if error else [(path, rule, *v, None, said) for v in report.violations]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({c: "Int32" for c in ("start_line", "start_col", "end_line", "end_col")})
+        rows = [(path, rule, None, None, None, None, None, None, None, error, said)] if error else [(path, rule, *v, None, said) for v in report.violations]
+        return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int32" for c in ("start_line", "start_col", "end_line", "end_col")})
 
     known = matches.where(F.col("rule_name").isin(list(bodies)))
     return known.groupBy("path", "rule_name").applyInPandas(run, FOUND)
