@@ -119,7 +119,8 @@ PARSERS = {"HTML": html_nodes, "PYTHON": python_nodes, "JSON": json_nodes}
 
 
 def parse(artifacts: DataFrame, language: str) -> DataFrame:
-    """Nodes of artifacts (path, content); what does not parse gives none. Filter before this: Spark moves no filter below it."""
+    """Nodes of artifacts (path, content); what does not parse gives one row of type ERROR, whose text is the
+    fault. Filter before this: Spark moves no filter below it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = PARSERS[language]
@@ -127,8 +128,11 @@ def parse(artifacts: DataFrame, language: str) -> DataFrame:
             for path, text in zip(batch["path"], batch["content"], strict=True):
                 try:
                     rows = read(path, text or "")
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
+                except (SyntaxError, ValueError, RecursionError) as e:
+                    out = _Rows(path)
+                    out.open("ERROR", 1, 1, text=f"{type(e).__name__}: {e}")
+                    out.close(1, 1)
+                    rows = out.rows
                 df = pd.DataFrame(rows, columns=COLUMNS)
                 df["parent_id"] = df["parent_id"].astype("Int32")
                 yield df
@@ -151,16 +155,36 @@ def parents(nodes: DataFrame) -> DataFrame:
     return nodes.select("file_id", "node_id", "parent_id", "cst_type").join(p, ["file_id", "parent_id"])
 
 
+def _down(x: Column, k: Column) -> Column:
+    return F.call_function("shiftright", x.cast("long"), k)
+
+
+def _blocks(low: Column, high: Column) -> Column:
+    """The ids low to high as aligned blocks (k, at) of 2^k ids from at * 2^k on: each id in one of them, two of a size at most."""
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    spans = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(k.alias("k"), _down(low.cast("long") + size(k) - 1, k).alias("lo"), _down(high.cast("long") + 1, k).alias("hi")))
+    left = F.filter(spans, lambda p: (p["lo"] < p["hi"]) & (p["lo"] % 2 == 1))
+    right = F.filter(spans, lambda p: (p["lo"] < p["hi"]) & (p["hi"] % 2 == 1))
+    return F.concat(F.transform(left, lambda p: F.struct(p["k"].alias("k"), p["lo"].alias("at"))), F.transform(right, lambda p: F.struct(p["k"].alias("k"), (p["hi"] - 1).alias("at"))))
+
+
 def within(nodes: DataFrame, own: Column | None = None, above: Column | None = None, self_too: bool = False) -> DataFrame:
     """(file_id, node_id, ancestor_id, distance, ancestor_type): pairs of a node and an ancestor; own and above narrow the
-    two sides before the join, on columns of nodes."""
+    two sides before the join, on columns of nodes.
+
+    A subtree's ids are cut into aligned blocks and a node names the block of each size that holds it, so the join is on
+    equal keys (file, size, block): no pair is made that is not in the result, and a large file is spread over tasks.
+    """
     d = nodes if own is None else nodes.where(own)
     a = nodes if above is None else nodes.where(above)
-    d = d.select("file_id", "node_id", F.col("depth").alias("d_depth"))
-    a = a.select("file_id", F.col("node_id").alias("ancestor_id"), "last_desc", F.col("depth").alias("a_depth"), F.col("cst_type").alias("ancestor_type"))
-    low = d["node_id"] >= a["ancestor_id"] if self_too else d["node_id"] > a["ancestor_id"]
-    both = d.join(a, (d["file_id"] == a["file_id"]) & low & (d["node_id"] <= a["last_desc"]))
-    return both.select(d["file_id"], "node_id", "ancestor_id", (F.col("d_depth") - F.col("a_depth")).alias("distance"), "ancestor_type")
+    low = F.col("node_id") if self_too else F.col("node_id") + 1
+    a = a.where(F.col("last_desc") >= low).select("file_id", F.col("node_id").alias("ancestor_id"), "last_desc", F.col("depth").alias("a_depth"), F.col("cst_type").alias("ancestor_type"))
+    top = a.groupBy("file_id").agg((F.floor(F.log2(F.max(F.col("last_desc").cast("long") - F.col("ancestor_id") + 1))) + 1).cast("int").alias("top"))
+    low = F.col("ancestor_id") if self_too else F.col("ancestor_id") + 1
+    a = a.select("*", F.explode(_blocks(low, F.col("last_desc"))).alias("block")).select("file_id", F.col("block.k").alias("k"), F.col("block.at").alias("at"), "ancestor_id", "a_depth", "ancestor_type")
+    d = d.select("file_id", "node_id", F.col("depth").alias("d_depth")).join(top, "file_id")
+    d = d.select("file_id", "node_id", "d_depth", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("k")).withColumn("at", _down(F.col("node_id"), F.col("k")))
+    return d.join(a, ["file_id", "k", "at"]).select("file_id", "node_id", "ancestor_id", (F.col("d_depth") - F.col("a_depth")).alias("distance"), "ancestor_type")
 
 
 def find_ancestor(nodes: DataFrame, own: Column, above: Column, self_too: bool = False) -> DataFrame:
@@ -171,7 +195,7 @@ def find_ancestor(nodes: DataFrame, own: Column, above: Column, self_too: bool =
 def find_descendant(nodes: DataFrame, own: Column, below: Column) -> DataFrame:
     """The first descendant in depth-first order that meets `below`, for nodes that meet `own`."""
     got = within(nodes, below, own)
-    return got.groupBy("file_id", F.col("ancestor_id").alias("node_id")).agg(F.min(got["node_id"]).alias("descendant_id"))
+    return got.select("file_id", F.col("ancestor_id").alias("top_id"), F.col("node_id").alias("low_id")).groupBy("file_id", F.col("top_id").alias("node_id")).agg(F.min("low_id").alias("descendant_id"))
 
 
 @dataclass

@@ -548,15 +548,29 @@ def used_rulesets(spark, sf_dir):
     return cfg.used_rulesets(n.where("n_regionkey < 2").select(F.col("n_name").alias("ruleset")), {"use_default": True, "use": ["x", "y"], "ignore_rulesets": ["y", first]})
 
 
-# ---- without a SQL twin ----
+_PLACES = "found_ AS (" + " UNION ALL ".join(f"SELECT path, content, {_q(r['rule_id'])} AS rule_id, regexp_extract_all(content, {_q(r['pattern'])}) AS m, regexp_split_to_array(content, {_q(r['pattern'])}) AS p FROM art" for r in SECRET_RULES) + """),
+each AS (SELECT path, content, rule_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM found_),
+spans AS (SELECT path, content, rule_id, CAST(list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos, length(m[i]) AS n FROM each),
+heads AS (SELECT path, rule_id, pos, content[:pos] AS a, content[:pos + n] AS b FROM spans WHERE pos + n < length(content)),
+places AS (SELECT path, rule_id, CAST(pos AS INT) AS "at", CAST(len(string_split(a, chr(10))) AS INT) AS start_line, CAST(length_grapheme(string_split(a, chr(10))[-1]) + 1 AS INT) AS start_col,
+  CAST(len(string_split(b, chr(10))) AS INT) AS end_line, CAST(length_grapheme(string_split(b, chr(10))[-1]) + 1 AS INT) AS end_col FROM heads)"""
 
 
-@query("secret_scan_positions")
+@query("secret_scan_positions", f"WITH {ART}, {LINES}, {SUPP}, {_PLACES} SELECT l.*, s.line IS NOT NULL AS is_suppressed FROM places l LEFT JOIN supp s ON l.path = s.path AND l.start_line = s.line")
 def secret_scan_positions(spark, sf_dir):
     a = artifacts(spark, sf_dir)
     return secrets.with_secret_suppression(secrets.scan(a, SECRET_RULES), a).drop("ord")
 
 
+@query("rule_body_findings", FOUND + " SELECT path, rule_id AS rule_name, CAST(line AS INT) AS start_line, CAST(1 AS INT) AS start_col, CAST(1 + length(match) AS INT) AS end_col, 'long match' AS message FROM found WHERE rule_id IN ('set/token', 'set/email') AND length(match) > 20")
+def rule_body_findings(spark, sf_dir):
+    """The places of rule_bodies."""
+    return rule_bodies(spark, sf_dir).select("path", "rule_name", "start_line", "start_col", "end_col", "message")
+
+
+# ---- without a SQL twin ----
+
+
 @query("html_node_types")
 def html_node_types(spark, sf_dir):
     n = nodes.parse(repo.artifacts_from_pages(load(spark, sf_dir, "pages")), "HTML")
@@ -582,6 +596,6 @@ def sarif_documents(spark, sf_dir):
     return sinks.sarif_runs(sinks.sarif_results(p, r, a), r, "siftwork", ["a:b"])
 
 
-@query("dot_graph")
+@query("dot_graph", f"WITH {_EDGES} SELECT 'g' AS graph_id, 'digraph {{' || chr(10) || array_to_string(list_sort(list(DISTINCT '  \"' || src || '\" -> \"' || dst || '\";')), chr(10)) || chr(10) || '}}' AS dot FROM (SELECT src, dst FROM edges UNION ALL SELECT 0, 0)")
 def dot_graph(spark, sf_dir):
     return sinks.dot_graphs(graph(spark, sf_dir))

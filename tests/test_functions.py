@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions import paths, text
-from siftwork.operators import config, files, findings, rules, secrets, sinks, suppress
+from siftwork.operators import config, files, findings, nodes, rules, secrets, sinks, suppress
 from siftwork.plans import scan
 from siftwork.sources import repo
 from siftwork.streaming import incremental
@@ -200,3 +200,30 @@ def test_secret_findings_plan(spark):
     r = spark.createDataFrame([("k", "a key", "High", False)], "rule_id string, name string, priority string, is_supporting boolean")
     out = sorted((x["start_line"], x["is_suppressed"], x["severity"], x["fingerprint"]) for x in rows(scan.secret_findings(a, r, [{"rule_id": "k", "pattern": "abc[0-9]"}])))
     assert [(n, s, v) for n, s, v, _ in out] == [(3, True, "ERROR"), (4, False, "ERROR")] and out[0][3] != out[1][3]
+
+
+def test_pairs_within_subtrees_equal_brute_force(spark):
+    page = "<div><p>a<b>b</b></p><ul>" + "<li><i>x</i><p>y</p></li>" * 37 + "</ul></div>"
+    tree = [r for name in ("f", "g") for r in nodes.html_nodes(name, page + name)]
+    t = spark.createDataFrame(tree, nodes.NODES)
+    at = {c: i for i, c in enumerate(nodes.COLUMNS)}
+    rel = [(x[0], x[1], y[1], x[at["depth"]] - y[at["depth"]]) for x in tree for y in tree if x[0] == y[0] and y[1] <= x[1] <= y[at["last_desc"]]]
+    for self_too in (False, True):
+        got = nodes.within(t, self_too=self_too).select("file_id", "node_id", "ancestor_id", "distance")
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rel if self_too or r[3])
+    some = nodes.within(t, F.col("text") == "p", F.col("text") == "li")
+    assert some.count() == 2 * 37
+    nearest = {(r["file_id"], r["node_id"]): r["ancestor_id"] for r in nodes.find_ancestor(t, F.col("text") == "i", F.col("cst_type") == "element").collect()}
+    assert nearest == {(x[0], x[1]): x[2] for x in tree if x[at["text"]] == "i"}
+    first = {r["file_id"]: r["descendant_id"] for r in nodes.find_descendant(t, F.col("text") == "ul", F.col("text") == "i").collect()}
+    assert first == {f: min(x[1] for x in tree if x[0] == f and x[at["text"]] == "i") for f in ("f", "g")}
+    assert nodes.within(t.where("false")).count() == 0
+
+
+def test_contents_that_do_not_parse_give_an_error_node(spark):
+    a = spark.createDataFrame([("a.py", "x = ("), ("b.py", "x = 1"), ("c.py", None)], "path string, content string")
+    got = {r["file_id"]: r for r in nodes.parse(a, "PYTHON").where("parent_id is null").collect()}
+    assert {f: r["cst_type"] for f, r in got.items()} == {"a.py": "ERROR", "b.py": "Module", "c.py": "Module"}
+    assert got["a.py"]["text"].startswith("SyntaxError")
+    j = spark.createDataFrame([("a.json", "{"), ("b.json", "[1]")], "path string, content string")
+    assert sorted((r["file_id"], r["cst_type"]) for r in nodes.parse(j, "JSON").where("parent_id is null").collect()) == [("a.json", "ERROR"), ("b.json", "array")]
